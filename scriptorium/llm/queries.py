@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, url_filter
+from . import bpe, language_id, license_scan, quality, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {"op6_bpe": bpe.op6_bpe, "op7_url_filter": url_filter.op7_url_filter}
+    return {
+        "op3_language_id": language_id.op3_language_id,
+        "op4_quality": quality.op4_quality,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_url_filter": url_filter.op7_url_filter,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_license_scan": license_scan.op10_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
