@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, license_scan, quality, toxicity, url_filter
+from . import bpe, decontaminate, language_id, license_scan, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_language_id": language_id.op3_language_id,
         "op4_quality": quality.op4_quality,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_bpe": bpe.op6_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
         "op9_toxicity": toxicity.op9_toxicity,
