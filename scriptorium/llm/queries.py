@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, license_scan, quality, toxicity, url_filter
+from . import bpe, decontaminate, language_id, license_scan, near_dedup, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_language_id": language_id.op3_language_id,
         "op4_quality": quality.op4_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE}
