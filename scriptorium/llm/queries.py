@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, license_scan, near_dedup, quality, toxicity, url_filter
+from . import bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_language_id": language_id.op3_language_id,
         "op4_quality": quality.op4_quality,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE}
