@@ -142,55 +142,73 @@ class Items:
         return found
 
 
-SCHEMA = "doc_id long, item_id long, item_words int, matched_words int, coverage double, tiles array<struct<item_start:int,doc_start:int,words:int>>"
-
-
-def _against(docs: DataFrame, items: Items, covered: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))]
-    names = ["doc_id", "item_id", "item_words", "matched_words", "coverage", "tiles"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        for batch in batches:
-            for part in slices(batch):
-                words, rows = word_hashes(part.column("text"))
-                seeds, owners = shingle_hashes(words, rows, part.num_rows, items.least)
-                out = []
-                for row in np.unique(owners[items.hits(seeds)[0]]).tolist():
-                    own = words[np.searchsorted(rows, row) : np.searchsorted(rows, row + 1)]
-                    for i, tiles in items.matches(own):
-                        size, matched = len(items.words[i]), sum(n for _, _, n in tiles)
-                        if matched >= covered * size:
-                            out.append((part.column("doc_id")[row].as_py(), items.ids[i], size, matched, matched / size, [{"item_start": a, "doc_start": b, "words": n} for a, b, n in tiles]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
-
-    return docs.mapInArrow(work, SCHEMA)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
-    """One row for each document and benchmark item that leaked into it, with its tiles."""
-    spark = docs.sparkSession
-    tune(spark)
-    docs = docs.select("doc_id", "text")
+def leaks(part: pa.RecordBatch, items: Items, covered: float) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """Row, item, matched words and tiles of each leak into a batch of documents."""
+    words, rows = word_hashes(part.column("text"))
+    seeds, owners = shingle_hashes(words, rows, part.num_rows, items.least)
+    for row in np.unique(owners[items.hits(seeds)[0]]).tolist():
+        own = words[np.searchsorted(rows, row) : np.searchsorted(rows, row + 1)]
+        for i, tiles in items.matches(own):
+            matched = sum(n for _, _, n in tiles)
+            if matched >= covered * len(items.words[i]):
+                yield row, i, matched, tiles
+
+
+def blocks_of(benchmark: DataFrame, least: int) -> Iterator[Items]:
+    """The benchmark in blocks of about BLOCK_CHARS characters: their number follows the benchmark, their size does not."""
     items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
-    # Blocks hold about BLOCK_CHARS characters: their number follows the benchmark, the size of one does not.
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_CHARS))
-    found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        if rows or found is None and block == blocks - 1:
-            part = _against(docs, Items([r["item_id"] for r in rows], [r["text"] for r in rows], least), covered)
-            found = part if found is None else found.unionByName(part)
-    return found
+        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], least)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
-    """The documents into which no item leaked; null doc_ids stay."""
-    leaked = contaminated(docs, benchmark, covered).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+SCHEMA = "doc_id long, item_id long, item_words int, matched_words int, coverage double, tiles array<struct<item_start:int,doc_start:int,words:int>>"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
+    """One row for each document and benchmark item that leaked into it, with its tiles."""
+    tune(docs.sparkSession)
+
+    def against(items: Items) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for batch in batches:
+                for part in slices(batch):
+                    out = []
+                    for row, i, matched, tiles in leaks(part, items, covered):
+                        size = len(items.words[i])
+                        out.append((part.column("doc_id")[row].as_py(), items.ids[i], size, matched, matched / size, [{"item_start": a, "doc_start": b, "words": n} for a, b, n in tiles]))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(_KINDS)], ["doc_id", "item_id", "item_words", "matched_words", "coverage", "tiles"])
+
+        return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+
+    first, *rest = [against(items) for items in blocks_of(benchmark, least)]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
+    """The documents, with all their columns, into which no item leaked."""
+    tune(docs.sparkSession)
+    for items in blocks_of(benchmark, least):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[row for row, *_ in leaks(part, shared.value, covered)]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, with all their columns, whose language is told with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    tune(docs.sparkSession)
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = crc32_mod("doc_id", 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, toxicity, url_filter
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_bpe": bpe.op6_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_ann": ann.op8_ann,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_ann": ann.ORACLE}
