@@ -1,11 +1,22 @@
-"""All queries of the reference's own operators, by name, with their SQL."""
+"""All queries of the document-analytics operators, by name, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("quality", "metrics", "screening")
+
+
+def _all() -> dict[str, tuple]:
+    found: dict[str, tuple] = {}
+    for name in MODULES:
+        found |= import_module(f"scriptorium.operators.{name}").queries()
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
