@@ -33,7 +33,7 @@ agpl-3.0-or-later | affero | gnu~affero~general~public~licen[sc]e,?~V~3(\.0)?,?~
 agpl-3.0 | affero | gnu~affero~general~public~licen[sc]e,?~(?:as~published~by~the~free~software~foundation,?~)?V~3(\.0)?
 agpl-1.0 | affero | affero~general~public~licen[sc]e,?~V~1(\.0)?
 agpl | affero | affero~general~public~licen[sc]e
-agpl-3.0 | agpl | agpl[~-]?v?3(\.0)?
+agpl-3.0 | agpl | agpl~v?3(\.0)?
 lgpl-3.0-or-later | lesser | gnu~lesser~general~public~licen[sc]e,?~V~3(\.0)?,?~(?:of~the~license,?~)?or~(?:\(at~your~option\)~)?any~later
 lgpl-3.0 | lesser | gnu~lesser~general~public~licen[sc]e,?~(?:as~published~by~the~free~software~foundation,?~)?V~3(\.0)?
 lgpl-2.1-or-later | lesser | gnu~lesser~general~public~licen[sc]e,?~V~2\.1,?~(?:of~the~license,?~)?or~(?:\(at~your~option\)~)?any~later
@@ -41,8 +41,8 @@ lgpl-2.1 | lesser | gnu~lesser~general~public~licen[sc]e,?~V~2\.1
 lgpl-2.0 | library | gnu~library~general~public~licen[sc]e,?~V~2(\.0)?
 lgpl | library | gnu~library~general~public~licen[sc]e
 lgpl | lesser | gnu~lesser~general~public~licen[sc]e
-lgpl-3.0 | lgpl | lgpl[~-]?v?3(\.0)?
-lgpl-2.1 | lgpl | lgpl[~-]?v?2\.1
+lgpl-3.0 | lgpl | lgpl~v?3(\.0)?
+lgpl-2.1 | lgpl | lgpl~v?2\.1
 lgpl | lgpl | \blgpl\b
 gpl-3.0-or-later | general public | gnu~general~public~licen[sc]e,?~V~3(\.0)?,?~(?:of~the~license,?~)?or~(?:\(at~your~option\)~)?any~later
 gpl-2.0-or-later | general public | gnu~general~public~licen[sc]e,?~V~2(\.0)?,?~(?:of~the~license,?~)?or~(?:\(at~your~option\)~)?any~later
@@ -50,8 +50,8 @@ gpl-3.0 | general public | gnu~general~public~licen[sc]e,?~(?:as~published~by~th
 gpl-2.0 | general public | gnu~general~public~licen[sc]e,?~(?:as~published~by~the~free~software~foundation,?~)?V~2(\.0)?
 gpl-1.0 | general public | gnu~general~public~licen[sc]e,?~V~1(\.0)?
 gpl | general public | gnu~general~public~licen[sc]e
-gpl-3.0 | gpl | \bgpl[~-]?v?3(\.0)?\b
-gpl-2.0 | gpl | \bgpl[~-]?v?2(\.0)?\b
+gpl-3.0 | gpl | \bgpl~v?3(\.0)?\b
+gpl-2.0 | gpl | \bgpl~v?2(\.0)?\b
 gpl | gpl | \bgnu~gpl\b
 gpl | free software foundation | redistribute~it~and/or~modify~it~under~the~terms~of~the~gnu~general
 gcc-exception | gcc | gcc~runtime~library~exception
@@ -63,7 +63,7 @@ gfdl | free documentation | gnu~free~documentation~licen[sc]e
 apache-2.0 | apache | apache~(?:software~)?licen[sc]e,?~V~2(\.0)?
 apache-1.1 | apache | apache~(?:software~)?licen[sc]e,?~V~1\.1
 apache-1.0 | apache | apache~(?:software~)?licen[sc]e,?~V~1(\.0)?
-apache-2.0 | apache | apache[~-]2(\.0)?\b
+apache-2.0 | apache | apache~2(\.0)?\b
 apache-2.0 | apache | www\.apache\.org/licenses/license-2\.0
 apache | apache | apache~(?:software~)?licen[sc]e
 mit | mit | \bmit~licen[sc]e|licen[sc]ed~under~(?:the~)?mit\b|the~mit~\(?expat\)?~licen[sc]e
@@ -76,20 +76,20 @@ isc | isc | \bisc~licen[sc]e
 isc | permission | permission~to~use,?~copy,?~modify,?~and/or~distribute~this~software~for~any~purpose
 ntp | permission | permission~to~use,?~copy,?~modify,?~and~distribute~this~software~and~its~documentation
 bsd-4-clause | advertising | all~advertising~materials~mentioning~features
-bsd-4-clause | bsd | (?:4[~-]clause|four[~-]clause|original)~bsd|bsd[~-]4[~-]clause
-bsd-3-clause | bsd | (?:3[~-]clause|three[~-]clause|new|modified|revised)~bsd|bsd[~-]3[~-]clause
+bsd-4-clause | bsd | (?:4~clause|four~clause|original)~bsd|bsd~4~clause
+bsd-3-clause | bsd | (?:3~clause|three~clause|new|modified|revised)~bsd|bsd~3~clause
 bsd-3-clause | endorse | neither~the~name~of~.{0,80}?~nor~the~names~of~its~contributors
-bsd-2-clause | bsd | (?:2[~-]clause|two[~-]clause|simplified|freebsd)~bsd|bsd[~-]2[~-]clause
-bsd-1-clause | bsd | (?:1[~-]clause|one[~-]clause)~bsd|bsd[~-]1[~-]clause
-bsd-0 | bsd | (?:0[~-]clause|zero[~-]clause)~bsd|\b0bsd\b
+bsd-2-clause | bsd | (?:2~clause|two~clause|simplified|freebsd)~bsd|bsd~2~clause
+bsd-1-clause | bsd | (?:1~clause|one~clause)~bsd|bsd~1~clause
+bsd-0 | bsd | (?:0~clause|zero~clause)~bsd|\b0bsd\b
 bsd | redistribution | redistribution~and~use~in~source~and~binary~forms
-bsd | bsd | \bbsd~licen[sc]e|bsd[~-]style~licen[sc]e
+bsd | bsd | \bbsd~licen[sc]e|bsd~style~licen[sc]e
 mpl-2.0 | mozilla | mozilla~public~licen[sc]e,?~V~2(\.0)?
 mpl-1.1 | mozilla | mozilla~public~licen[sc]e,?~V~1\.1
 mpl-1.0 | mozilla | mozilla~public~licen[sc]e,?~V~1(\.0)?
 mpl-2.0 | mozilla | mozilla\.org/mpl/2\.0
 mpl | mozilla | mozilla~public~licen[sc]e
-mpl-2.0 | mpl | \bmpl[~-]?v?2(\.0)?\b
+mpl-2.0 | mpl | \bmpl~v?2(\.0)?\b
 epl-2.0 | eclipse | eclipse~public~licen[sc]e,?~-?~V~2(\.0)?
 epl-1.0 | eclipse | eclipse~public~licen[sc]e,?~-?~V~1(\.0)?
 epl | eclipse | eclipse~public~licen[sc]e

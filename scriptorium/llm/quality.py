@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[V
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     vectors = Vectors([tokens_of(r["text"]) for r in rows])
-    x = np.array([vectors.pooled(r["text"]) for r in rows]).reshape(len(rows), -1)
+    x = np.array([vectors.pooled(r["text"]) for r in rows]).reshape(len(rows), vectors.table.shape[1])
     return vectors, Network(x, np.array([float(r["label"]) for r in rows]))
 
 

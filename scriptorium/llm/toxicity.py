@@ -64,7 +64,8 @@ def contexts(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
 
 def select(positive: list[str | None], unlabelled: list[str | None]) -> list[str]:
     (words_p, of_p), (words_u, of_u) = contexts(positive), contexts(unlabelled)
-    rate = of_p.sum() / max(int(of_u.sum()), 1)
+    # Where few words make up all texts, pairs repeat and their numbers say little; then the numbers of texts count.
+    rate = min(of_p.sum() / max(int(of_u.sum()), 1), len(positive) / len(unlabelled))
     chosen = []
     for size in SIZES:
         in_p: dict[str, int] = {}
