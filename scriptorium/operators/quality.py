@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from ..functions import text as T
 from ..sources.tables import table
 
-text = F.col("text")
+text = "text"
 
 
 def corpus_profile(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..sources.tables import table
 from . import kernels
 
-text = F.col("text")
+text = "text"
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import table
 
-text = F.col("text")
+text = "text"
 
 # Patterns, levels and blend parameters.
 SECRET_PAIR = r"(?i)\b(api[_-]?key|secret|token|password|passwd|pwd)\b\s*[:=]\s*\S+"
