@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "metrics", "screening", "dedupe", "retrieval", "structure", "linking")
+MODULES = ("quality", "metrics", "screening", "dedupe", "retrieval", "structure", "linking", "rules")
 
 
 def _all() -> dict[str, tuple]:

@@ -31,3 +31,18 @@ def select_only(query: str) -> str:
 
 def run_select(spark: SparkSession, query: str, limit: int = 200) -> DataFrame:
     return spark.sql(select_only(query)).limit(limit)
+
+
+def durable(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a local one only where it is unset), read back."""
+    import tempfile
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="scriptorium-")
+        sc.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/scriptorium/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
