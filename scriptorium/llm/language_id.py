@@ -89,7 +89,8 @@ class Scorer:
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         langs = self.model.langs
-        if not words or not langs:
+        # Word characters that are neither digits nor letters (a raised two, a half) make no language.
+        if not langs or not any(any(map(str.isalpha, word)) for word in words):
             return UNKNOWN, 0.0
         total = np.zeros(len(langs))
         for at in range(0, len(words), 20_000):  # a run of words at a time, however long the text

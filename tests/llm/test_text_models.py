@@ -36,6 +36,7 @@ def test_language_edge_cases(spark, corpus):
     model = language_id.fit(docs)
     got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(docs, model).collect()}
     assert got[901] == got[902] == got[903] == ("und", 0.0)
+    assert language_id.Scorer(model).predict("½ ²") == ("und", 0.0)
     assert got[900][0] == got[905][0] == "aa"
     assert got[904][0] in ("aa", "bb")
     kept = language_id.keep_known(docs, model, 0.3)
