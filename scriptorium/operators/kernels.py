@@ -29,3 +29,154 @@ def mmr_picker(k: int, balance: float):
         return pd.DataFrame({"query_id": group["query_id"].iloc[0], "pos": range(1, len(order) + 1), "vec_id": group["vec_id"].iloc[order].to_numpy()})
 
     return pick
+
+
+def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
+    """Similarity of two strings: shared characters within a window, transpositions, and a common beginning."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(len(a), len(b)) // 2 - 1
+    taken, mine = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                mine.append(c)
+                break
+    if not mine:
+        return 0.0
+    theirs = [c for c, t in zip(b, taken, strict=True) if t]
+    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    m = len(mine)
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    start = 0
+    while start < min(4, len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    return jaro + start * boost * (1 - jaro)
+
+
+def initials_of(name: str) -> str:
+    return "".join(word[0] for word in name.split())
+
+
+def same_name(a: str, b: str, least: float) -> bool:
+    return a == b or initials_of(a) == b.replace(".", "").replace(" ", "") or initials_of(b) == a.replace(".", "").replace(" ", "") or jaro_winkler(a, b) >= least
+
+
+def name_clusters(least: float):
+    """A grouped function: names of one block (name, confidence) to their cluster's leading name, surest first."""
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        leaders: list[str] = []
+        found = []
+        for row in group.sort_values(["confidence", "name"], ascending=[False, True]).itertuples():
+            leader = next((x for x in leaders if same_name(row.name, x, least)), None)
+            if leader is None:
+                leaders.append(row.name)
+            found.append((row.label, row.name, leader or row.name))
+        return pd.DataFrame(found, columns=["label", "name", "leader"])
+
+    return cluster
+
+
+def fresh_lines(lines: list[str], least: float = 0.92, last: int = 10) -> list[int]:
+    """Positions of lines that equal no kept line (lowered, blanks squeezed) and resemble none of the ``last`` kept ones."""
+    from difflib import SequenceMatcher
+
+    keys, kept = set(), []
+    out = []
+    for i, line in enumerate(lines):
+        key = " ".join(line.lower().split())
+        if not key or key in keys:
+            continue
+        matcher = SequenceMatcher(None, autojunk=False)
+        matcher.set_seq2(key)
+        similar = False
+        for other in kept[-last:]:
+            matcher.set_seq1(other)
+            if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least:
+                similar = True
+                break
+        if not similar:
+            keys.add(key)
+            kept.append(key)
+            out.append(i)
+    return out
+
+
+def line_filter(frames):
+    """doc_id, text to doc_id, n_lines, n_kept and the kept text."""
+    for frame in frames:
+        rows = []
+        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            lines = (text or "").split("\n")
+            kept = fresh_lines(lines)
+            rows.append((doc_id, len(lines), len(kept), "\n".join(lines[i] for i in kept)))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_kept", "kept"])
+
+
+def best_window(needle: str, hay: str, step: int = 8) -> float:
+    """The best ratio of ``needle`` against windows of its length in ``hay``; 0 for needles under ten characters."""
+    from difflib import SequenceMatcher
+
+    if len(needle) < 10 or not hay:
+        return 0.0
+    if needle in hay:
+        return 1.0
+    matcher, best = SequenceMatcher(None, autojunk=False), 0.0
+    matcher.set_seq2(needle)
+    for at in range(0, max(1, len(hay) - len(needle) + 1), step):
+        matcher.set_seq1(hay[at : at + len(needle)])
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+            best = max(best, matcher.ratio())
+    return best
+
+
+def within_budget(sizes: list[int], budget: int, most: int) -> list[int]:
+    """Positions taken in order while they fit: one too large is passed over, and later ones may still fit."""
+    taken, used = [], 0
+    for i, size in enumerate(sizes):
+        if len(taken) < most and used + size <= budget:
+            taken.append(i)
+            used += size
+    return taken
+
+
+def budget_picker(budget: int, most: int):
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        chosen = within_budget(group["tokens"].tolist(), budget, most)
+        return group.iloc[chosen][["item_id", "rank", "doc_id", "tokens"]]
+
+    return pick
+
+
+def centroid_clusters(vectors: np.ndarray, least: float, most: int) -> list[int]:
+    """Greedy clustering in order: a vector joins the nearest running-mean centroid if similar enough, or if no further
+    cluster is allowed; otherwise it begins one."""
+    centroids: list[np.ndarray] = []
+    counts: list[int] = []
+    out = []
+    for v in vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12):
+        scores = [float(v @ c / max(np.linalg.norm(c), 1e-12)) for c in centroids]
+        best = int(np.argmax(scores)) if scores else -1
+        if scores and (scores[best] >= least or len(centroids) >= most):
+            counts[best] += 1
+            centroids[best] = centroids[best] + (v - centroids[best]) / counts[best]
+            out.append(best)
+        else:
+            centroids.append(v)
+            counts.append(1)
+            out.append(len(centroids) - 1)
+    return out
+
+
+def cluster_picker(least: float, most: int):
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        labels = centroid_clusters(np.array(group["embedding"].tolist(), np.float64), least, most)
+        return pd.DataFrame({"query_id": group["query_id"].to_numpy(), "rank": group["rank"].to_numpy(), "vec_id": group["vec_id"].to_numpy(), "cluster": labels})
+
+    return pick
