@@ -6,8 +6,11 @@
 2. Documents with the same set form a class; only one representative of each goes on.
 3. In every band bucket all members are held against the smallest one (no pairs within the bucket): odd sketches drop
    what cannot be similar, and the remaining pairs are confirmed on their full sets.
-4. Members of a bucket which are still in different components are compared with each other, so that no link that a
-   bucket proposes is lost; large groups of copies are one component by then and cost nothing here.
+4. Members of a bucket which are still in different components must be compared with each other, so that no link that a
+   bucket proposes is lost.  Not all of them: of two sets similar enough, the rarest shingles of each (as many as may be
+   missing from the other, and one more) share one, so only documents that share such a shingle meet, and only at
+   places early enough in both for what follows to suffice.  In a large group of drifting copies the rarest shingles
+   are each copy's own changes, and the group does not multiply.
 5. Components are found by star contraction and carried back to all documents.
 
 Two sets of similarity s miss each other in all bands with probability (1 - s**4)**32: 6e-11 at 0.85, 5e-8 at 0.8.
@@ -35,6 +38,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: An estimate so far below the threshold rules a pair out; some ten standard deviations.
 MARGIN = 0.25
+#: Slots, as a power of two, in which shingles are counted to tell rare ones.
+RARITY_BITS = 20
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,6 +147,53 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts have a shingle in each of 2**RARITY_BITS slots: a table of bounded size, whatever the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                counts += np.bincount(_slots(shingle_sets(part.column("text"), width)[0]), minlength=1 << RARITY_BITS)
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+
+    counted = texts.select("doc_id", "text").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << RARITY_BITS, np.int64)
+    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return table
+
+
+def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """id, n, ``shingle`` and its ``place`` (from 0), a row for each of a text's rarest shingles, rarest first:
+    n - ceil(percent * n / 100) + 1 of them."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                hashes, cuts = shingle_sets(part.column("text"), width)
+                rows, found = [], []
+                for i in range(part.num_rows):
+                    own = hashes[cuts[i] : cuts[i + 1]]
+                    if len(own):
+                        most = len(own) - -(-percent * len(own) // 100) + 1
+                        found.append(own[np.lexsort((own, counts[_slots(own)]))[:most]])
+                        rows.append(i)
+                if rows:
+                    sizes = [len(x) for x in found]
+                    repeat, places = np.repeat(rows, sizes), np.concatenate([np.arange(x, dtype=np.int64) for x in sizes])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(repeat)), pa.array(np.diff(cuts)[repeat]), pa.array(np.concatenate(found).view(np.int64)), pa.array(places)], ["id", "n", "shingle", "place"])
+
+    return texts.select("doc_id", "text").mapInArrow(work, "id long, n long, shingle long, place long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row given."""
     tune(docs.sparkSession)
@@ -165,18 +217,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = durable(_confirmed(stars, texts, width, percent), "links")
     found = durable(connected_components(links), "components")
 
-    # What a bucket holds of several components is compared across them.
+    # What a bucket holds of several components is compared across them, where rare shingles meet.
     labelled = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_rows = labelled.join(mixed, "key", "left_semi").join(reps.select("id", "sketch"), "id")
-    left, right = (open_rows.select("key", F.col("id").alias(x), F.col("component").alias(f"component_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most))
-    across = across.select("a", "b").distinct()
+    open_ids = durable(labelled.join(mixed, "key", "left_semi").select("id", "component").distinct(), "open")
+    open_texts = texts.join(open_ids, texts["doc_id"] == open_ids["id"], "left_semi")
+    rare = durable(rare_shingles(open_texts, rarity(open_texts, width), width, percent).join(open_ids, "id"), "rare-shingles")
+    meeting = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    meeting = rare.join(meeting, "shingle", "left_semi").join(reps.select("id", "sketch"), "id")
+    left, right = (meeting.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "component", "sketch"))) for x in "ab")
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most)
+    # At the rarest shingle two sets share, all that they share stands from there on, in either: it must be enough.
+    enough = (100 + percent) * F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    across = left.join(right, "shingle").where(apart & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     more = durable(_confirmed(across, texts, width, percent), "more-links")
     if not more.isEmpty():
         found = durable(connected_components(links.unionByName(more)), "components")
 
-    own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = own.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
