@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, tune
 
 #: Pieces whose ids a worker remembers; at the bound the memory starts afresh.
-CACHE_PIECES = 300_000
-CACHE_PAIRS = 400_000
+CACHE_PIECES = 150_000
+CACHE_PAIRS = 300_000
 
 
 class Vocabulary:

@@ -30,7 +30,7 @@ MAX_DOCS_PER_LANG = 3000
 MAX_WORDS, MAX_GRAMS, MAX_ENTRIES = 20_000, 8_000, 400_000
 LONGEST_GRAM = 4
 #: Unseen words whose scores a worker remembers.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
