@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions import text as T
 from ..sources.tables import table
+from . import dedupe
 
 #: Fixed value: what counts as an entity here, a longer capitalised ASCII word.
 ENTITY = "[A-Z][a-z]{6,}"
@@ -27,18 +28,11 @@ def cooccurrence(docs: DataFrame, least: int = 2) -> DataFrame:
     return pairs.groupBy(F.col("a.entity").alias("entity_a"), F.col("b.entity").alias("entity_b")).agg(F.count("*").alias("n"), F.countDistinct("a.doc_id").alias("docs")).where(F.col("n") >= least)
 
 
-def overlaps(docs: DataFrame, least: float = 0.15, at_most: int = 50) -> DataFrame:
-    """Pairs of documents by the Jaccard overlap of their entities; entities of more than ``at_most`` documents say
-    nothing about a pair and are left out of both sides."""
-    m = mentions(docs)
-    rare = m.groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") <= at_most).select("entity")
-    m = m.join(rare, "entity")
-    sizes = m.groupBy("doc_id").agg(F.count("*").alias("n"))
-    a, b = m.alias("a"), m.alias("b")
-    common = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.doc_id") < F.col("b.doc_id"))).groupBy(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).agg(F.count("*").alias("shared"))
-    size_of = lambda x: sizes.select(F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"))
-    scored = common.join(size_of("a"), "doc_a").join(size_of("b"), "doc_b").withColumn("overlap", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    return scored.where(F.col("overlap") >= least).select("doc_a", "doc_b", "shared", F.round("overlap", 6).alias("overlap"))
+def overlaps(docs: DataFrame, least: float = 0.15) -> DataFrame:
+    """Pairs of documents by the Jaccard overlap of their entities; documents with the same entities are one node."""
+    sets = docs.select("doc_id", F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), F.lower))).alias("w")).where(F.size("w") > 0)
+    pairs = dedupe.similar_sets(dedupe.set_nodes(sets), least)
+    return pairs.select("doc_a", "doc_b", "shared", F.round("similarity", 6).alias("overlap"))
 
 
 def shared_and_different(docs: DataFrame) -> DataFrame:
@@ -51,9 +45,9 @@ def shared_and_different(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(docs: DataFrame, window: int = 1) -> DataFrame:
-    """Seeds (every tenth document) expanded by the documents beside them in their source, at a slightly lower score."""
+    """Each document expanded by the documents beside it in its source, at a slightly lower score."""
     placed = docs.select("doc_id", "source", F.row_number().over(W.Window.partitionBy("source").orderBy("doc_id")).alias("pos"))
-    seeds = placed.where(F.col("doc_id") % 10 == 0).select(F.col("doc_id").alias("seed_id"), "source", F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos"))
+    seeds = placed.select(F.col("doc_id").alias("seed_id"), "source", F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos"))
     near = seeds.join(placed, ["source", "pos"]).where("doc_id <> seed_id")
     return near.select("seed_id", "doc_id", F.round(F.greatest(F.lit(0.0), 0.9 - 0.05 * F.lit(1.0)), 2).alias("score"))
 
@@ -162,9 +156,9 @@ def queries() -> dict[str, tuple]:
         ),
         "doc_entity_overlap": (
             on("documents", overlaps),
-            f"""WITH m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS entity FROM documents), r AS (SELECT entity FROM m GROUP BY 1 HAVING count(*) <= 50), k AS (SELECT * FROM m JOIN r USING (entity)),
-            z AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1), c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM k a JOIN k b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2)
-            SELECT doc_a, doc_b, shared, round(shared::DOUBLE / (x.n + y.n - shared), 6) AS overlap FROM c JOIN z x ON x.doc_id = doc_a JOIN z y ON y.doc_id = doc_b WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.15""",
+            f"""WITH s AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{ENTITY}'), lambda x: lower(x)))) AS w FROM documents), k AS (SELECT min(doc_id) AS id, w, len(w) AS n FROM s WHERE len(w) > 0 GROUP BY w),
+            e AS (SELECT id, n, unnest(w) AS x FROM k), c AS (SELECT a.id AS doc_a, b.id AS doc_b, count(*) AS shared, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+            SELECT doc_a, doc_b, shared, round(j, 6) AS overlap FROM c WHERE j >= 0.15""",
         ),
         "shared_and_diff_values": (
             on("documents", shared_and_different),
@@ -174,7 +168,7 @@ def queries() -> dict[str, tuple]:
         "neighbor_expand": (
             on("documents", neighbours),
             """WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents)
-            SELECT s.doc_id AS seed_id, n.doc_id, 0.85::DOUBLE AS score FROM p s JOIN p n ON s.source = n.source AND abs(s.pos - n.pos) = 1 WHERE s.doc_id % 10 = 0""",
+            SELECT s.doc_id AS seed_id, n.doc_id, 0.85::DOUBLE AS score FROM p s JOIN p n ON s.source = n.source AND abs(s.pos - n.pos) = 1""",
         ),
         "grounding_containment": (
             two(grounding),

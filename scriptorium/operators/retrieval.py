@@ -26,16 +26,16 @@ def _top(df: DataFrame, by: str, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def cosine_topk(vectors: DataFrame, k: int = 5, queries: int = 8) -> DataFrame:
-    """The ``k`` nearest by cosine of the first ``queries`` vectors; the stated queries are few, so they are broadcast."""
-    q = vectors.where(F.col("vec_id") < queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 5).alias("score"))
+def cosine_topk(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
+    """The ``k`` nearest by cosine of each vector whose id is divisible by ``every``: the stated queries."""
+    q = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 5).alias("score"))
     return _top(scored, "query_id", k, F.desc("score"), "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
-def similar_bundles(vectors: DataFrame, least: float = 0.6, k: int = 2, queries: int = 20) -> DataFrame:
+def similar_bundles(vectors: DataFrame, least: float = 0.6, k: int = 2, every: int = 100) -> DataFrame:
     """Up to ``k`` neighbours of each seed with a cosine of at least ``least``."""
-    return cosine_topk(vectors, k, queries).where(F.col("score") >= least)
+    return cosine_topk(vectors, k, every).where(F.col("score") >= least)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -142,9 +142,9 @@ def mrr(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.agg(F.count("*").alias("items"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("first") == 1, 1.0).otherwise(0.0)), 6).alias("p_at_1"))
 
 
-def mmr_bundles(vectors: DataFrame, k: int = 4, pool: int = 20, balance: float = 0.5, queries: int = 8) -> DataFrame:
+def mmr_bundles(vectors: DataFrame, k: int = 4, pool: int = 20, balance: float = 0.5, every: int = 100) -> DataFrame:
     """A diverse bundle of each query's nearest vectors; the pool of a query is bounded."""
-    near = cosine_topk(vectors, pool, queries).join(vectors.select("vec_id", "embedding"), "vec_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    near = cosine_topk(vectors, pool, every).join(vectors.select("vec_id", "embedding"), "vec_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 
     return near.groupBy("query_id").applyInPandas(kernels.mmr_picker(k, balance), "query_id long, pos int, vec_id long")
 
@@ -161,7 +161,7 @@ def queries() -> dict[str, tuple]:
     on = lambda name, f: lambda spark, d: f(table(spark, d, name))
     two = lambda f: lambda spark, d: f(table(spark, d, "documents"), table(spark, d, "benchmark"))
     cos = "round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 5)"
-    nearest = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, {cos} AS score FROM v q JOIN v ON q.vec_id < {{n}} AND q.vec_id <> v.vec_id), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)"
+    nearest = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, {cos} AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)"
     terms = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)"
     bm = f"""{terms}, z AS (SELECT doc_id, sum(tf) AS size FROM c GROUP BY 1), st AS (SELECT count(*) AS total, avg(size) AS mean FROM z),
         a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS term FROM benchmark),
@@ -174,8 +174,8 @@ def queries() -> dict[str, tuple]:
         ff AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY f1 DESC, doc_id)::INT AS rank, doc_id, f1 FROM fs)"""
     score = "SELECT doc_id, source, lang, round((doc_id * 37 % 101) / 100.0::DOUBLE, 4) AS score FROM documents"
     return {
-        "cosine_topk": (on("embeddings", cosine_topk), f"WITH {nearest.format(n=8)} SELECT * FROM r WHERE rank <= 5"),
-        "knn_min_sim": (on("embeddings", similar_bundles), f"WITH {nearest.format(n=20)} SELECT * FROM r WHERE rank <= 2 AND score >= 0.6"),
+        "cosine_topk": (on("embeddings", cosine_topk), f"WITH {nearest} SELECT * FROM r WHERE rank <= 5"),
+        "knn_min_sim": (on("embeddings", similar_bundles), f"WITH {nearest} SELECT * FROM r WHERE rank <= 2 AND score >= 0.6"),
         "centroid_relations": (
             on("embeddings", centroids),
             """WITH e AS (SELECT label, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, k, avg(x) AS x FROM e GROUP BY 1, 2),

@@ -32,7 +32,7 @@ def resolved_names(docs: DataFrame, least: float = 0.93) -> DataFrame:
 
 def evidence(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each item its two best documents by BM25, and how well the closest stretch of each matches the item."""
-    pairs = retrieval.bm25(docs, benchmark, 2).join(docs.select("doc_id", F.col("text").alias("hay")), "doc_id").join(benchmark.select("item_id", F.substring("text", 1, 120).alias("needle")), "item_id")
+    pairs = retrieval.bm25(docs, benchmark, 2).join(docs.select("doc_id", F.col("text").alias("hay")), "doc_id").join(benchmark.select("item_id", F.col("text").alias("needle")), "item_id")
 
     def work(frames):
         for frame in frames:
@@ -51,7 +51,7 @@ def contexts(docs: DataFrame, benchmark: DataFrame, budget: int = 1500, most: in
 
 def clusters(vectors: DataFrame, least: float = 0.3, most: int = 5) -> DataFrame:
     """The pool of each query's nearest vectors, clustered greedily in order of rank."""
-    pool = retrieval.cosine_topk(vectors, 30, 8).join(vectors.select("vec_id", "embedding"), "vec_id")
+    pool = retrieval.cosine_topk(vectors, 30).join(vectors.select("vec_id", "embedding"), "vec_id")
     return pool.groupBy("query_id").applyInPandas(kernels.cluster_picker(least, most), "query_id long, rank int, vec_id long, cluster int")
 
 
