@@ -13,6 +13,10 @@ eighths on what is left, and variants are emitted only for positions of blocks t
 No group is spelled out as pairs: every variant group is reduced to its earliest lines, and members are held against
 those.
 
+With ``max_words`` 1, lines of 100 characters and more also go if an earlier one differs by one word: replaced, put in or
+left out, whatever its edits.  It is the same join with words for characters; candidates share their first or their last
+40 characters, as one word cannot reach into both.
+
 Lines are what newlines separate; characters are code points.  Defined results: lines of fewer than ``least`` characters
 (headings, brackets, blanks) are never dropped; a text whose lines all go becomes empty; null texts stay null; rows with
 a null doc_id are left as they are; rows that repeat a doc_id and its text count as the same place, so both keep a line
@@ -21,6 +25,9 @@ whose earliest place that is; all columns stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +36,10 @@ from .common import durable, table
 #: Shortest line, in characters, that is compared at all.
 LEAST = 16
 COARSE, FINE = 2, 8
+#: Lines of so many characters are also compared by words; of longer words, pieces of WORD characters count as words.
+LONG, WORD = 100, 20
+#: Characters at either end, outside which or before which a changed word and its blank must lie.
+END = (LONG - WORD) // 2
 #: Keys that may be broadcast (12 bytes each); more of them are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -46,19 +57,42 @@ def _block(size: Column, blocks: int, b: int) -> tuple[Column, Column]:
     return F.floor(size * b / blocks).cast("int"), F.floor(size * (b + 1) / blocks).cast("int")
 
 
-def block_keys(line: Column, blocks: int) -> Column:
-    """For the line's own length and one less, as the shorter line's length: keys of all but each block."""
-    size, found = F.length(line), []
+#: Size of a line's parts, and ``n`` of them from ``at`` (from 0): its characters, or its words as an array.
+Unit = tuple[Callable[[Column], Column], Callable[..., Column]]
+CHARACTERS: Unit = (F.length, lambda parts, at, n: F.substring(parts, at + 1, n))
+WORDS: Unit = (F.size, lambda parts, at, n: F.slice(parts, at + 1, F.greatest(n, F.lit(0))))
+
+
+def words_of(line: Column) -> Column:
+    """The words with the blank behind them, longer ones in pieces of ``WORD`` characters."""
+    return F.regexp_extract_all(F.concat(line, F.lit(" ")), F.lit(f"[^ ]{{1,{WORD}}} ?| "), F.lit(0))
+
+
+def block_keys(parts: Column, blocks: int, unit: Unit = CHARACTERS) -> Column:
+    """For the line's own size and one less, as the shorter line's size: keys of all but each block."""
+    size, cut = unit
+    found = []
     for over in (0, 1):
-        short = size - over
+        short = size(parts) - over
         for b in range(blocks):
             start, end = _block(short, blocks, b)
-            rest = F.substring(line, end + over + 1, size)
-            key = F.xxhash64(short, F.lit(b), F.substring(line, F.lit(1), start), F.lit("|"), rest)
+            key = F.xxhash64(short, F.lit(b), cut(parts, F.lit(0), start), F.lit("|"), cut(parts, end + over, size(parts)))
             found.append(F.struct(F.lit(over).alias("over"), F.lit(b).alias("block"), key.alias("key")))
     return F.array(*found)
 
 
+def end_keys(line: Column) -> Column:
+    """Keys of the first and of the last ``END`` characters: in a line of ``LONG``, no one word reaches into both."""
+    return F.array(F.xxhash64(F.lit("head"), F.substring(line, 1, END)), F.xxhash64(F.lit("tail"), F.substring(line, -END, END)))
+
+
+def one_word_apart(a: Column, b: Column) -> Column:
+    """Whether different arrays agree without one word of the longer one, or without the word at one place of both."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+    rest = F.least(F.size(a), F.size(b)) - at + (F.size(a) != F.size(b)).cast("int")
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (F.slice(a, F.size(a) - rest + 1, rest) == F.slice(b, F.size(b) - rest + 1, rest))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """The keys that at least two different lines have (columns key, h1, h2)."""
     return rows.groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high").select("key")
@@ -70,53 +104,65 @@ def _having(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if small else keys, "key", "left_semi")
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line one edit away."""
-    coarse = lines.select("h1", "h2", F.explode(block_keys(F.col("line"), COARSE)["key"]).alias("key"))
+def _near(lines: DataFrame, firsts: DataFrame, keys_of: Column, parts: Column, unit: Unit, apart: Callable[[Column, Column], Column]) -> DataFrame:
+    """h1, h2 of the distinct lines that have an earlier line one part away; such lines share one of ``keys_of``."""
+    size_of, part = unit
+    coarse = lines.select("h1", "h2", F.explode(keys_of).alias("key"))
     keys = durable(_shared(coarse), "line-halves")
-    near = _having(lines.select(*_PLACE, "line", "h1", "h2", F.explode(block_keys(F.col("line"), COARSE)["key"]).alias("key")), keys).drop("key").distinct()
+    near = _having(lines.select(*_PLACE, "line", "h1", "h2", F.explode(keys_of).alias("key")), keys).drop("key").distinct()
     near = near.join(firsts, ["h1", "h2"]).where(F.struct(*_PLACE) == F.col("first")).select("h1", "h2", "first", "line")
-    near = durable(near.distinct(), "line-candidates")
+    near = durable(near.distinct().select("h1", "h2", "first", parts.alias("parts")), "line-candidates")
 
-    fine = near.select("h1", "h2", "first", "line", F.explode(block_keys(F.col("line"), FINE)).alias("k")).select("h1", "h2", "first", "line", "k.over", "k.block", "k.key")
+    fine = near.select("h1", "h2", "first", "parts", F.explode(block_keys(F.col("parts"), FINE, unit)).alias("k")).select("h1", "h2", "first", "parts", "k.over", "k.block", "k.key")
     fine = durable(fine.join(_shared(fine), "key", "left_semi"), "line-eighths")
-    size = F.length("line") - F.col("over")
+    size = size_of(F.col("parts")) - F.col("over")
     start, end = F.floor(size * F.col("block") / FINE).cast("int"), F.floor(size * (F.col("block") + 1) / FINE).cast("int") - 1 + F.col("over")
-    cut = fine.where(end >= start).select("h1", "h2", "first", "over", "line", F.explode(F.sequence(start, end)).alias("at"))
-    variant = F.xxhash64(F.substring("line", F.lit(1), F.col("at")), F.lit("|"), F.substring("line", F.col("at") + 2, F.length("line")))
-    joined = F.xxhash64(F.concat(F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("at") + 2, F.length("line"))))
-    swapped = cut.where("over = 0").select("h1", "h2", "first", F.lit("swap").alias("role"), F.xxhash64(F.lit("swap"), F.length("line"), "at", variant).alias("key"))
-    longer = cut.where("over = 1").select("h1", "h2", "first", F.lit("long").alias("role"), F.xxhash64(F.lit("gap"), joined).alias("key"))
-    whole = fine.where("over = 0").select("h1", "h2", "first", F.lit("short").alias("role"), F.xxhash64(F.lit("gap"), F.xxhash64("line")).alias("key"))
+    spots = fine.where(end >= start).select("h1", "h2", "first", "over", "parts", F.explode(F.sequence(start, end)).alias("at"))
+    before, behind = part(F.col("parts"), F.lit(0), F.col("at")), part(F.col("parts"), F.col("at") + 1, size_of(F.col("parts")))
+    variant, joined = F.xxhash64(before, F.lit("|"), behind), F.xxhash64(F.concat(before, behind))
+    swapped = spots.where("over = 0").select("h1", "h2", "first", F.lit("swap").alias("role"), F.xxhash64(F.lit("swap"), size_of(F.col("parts")), "at", variant).alias("key"))
+    longer = spots.where("over = 1").select("h1", "h2", "first", F.lit("long").alias("role"), F.xxhash64(F.lit("gap"), joined).alias("key"))
+    whole = fine.where("over = 0").select("h1", "h2", "first", F.lit("short").alias("role"), F.xxhash64(F.lit("gap"), F.xxhash64("parts")).alias("key"))
     variants = durable(swapped.unionByName(longer).unionByName(whole).distinct(), "line-variants")
     of = lambda role: F.min(F.when(F.col("role") == role, F.col("first"))).alias(role)
     earliest = variants.groupBy("key").agg(of("swap"), of("long"), of("short"), F.count("*").alias("rows")).where("rows > 1")
     # A long line is held against the short one, the short one against the earliest long one, equals against their first.
     rival = F.when(F.col("role") == "swap", F.col("swap")).when(F.col("role") == "long", F.col("short")).otherwise(F.col("long"))
     claims = variants.join(earliest, "key").select("h1", "h2", "first", rival.alias("rival")).where(F.col("rival") < F.col("first")).distinct()
-    line_of = near.select(F.col("first").alias("rival"), F.col("line").alias("rival_line"))
-    checked = claims.join(near.select("h1", "h2", "line"), ["h1", "h2"]).join(line_of, "rival").where(F.levenshtein("line", "rival_line", 1) == 1)
+    parts_of = near.select(F.col("first").alias("rival"), F.col("parts").alias("rival_parts"))
+    checked = claims.join(near.select("h1", "h2", "parts"), ["h1", "h2"]).join(parts_of, "rival").where(apart(F.col("parts"), F.col("rival_parts")))
     return checked.select("h1", "h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST) -> DataFrame:
+def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h1, h2 of the distinct lines that have an earlier line one edit away."""
+    return _near(lines, firsts, block_keys(F.col("line"), COARSE)["key"], F.col("line"), CHARACTERS, lambda a, b: F.levenshtein(a, b, 1) == 1)
+
+
+def near_long_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h1, h2 of the distinct lines of ``LONG`` characters or more that have an earlier such line one word away."""
+    return _near(lines.where(F.length("line") >= LONG), firsts, end_keys(F.col("line")), words_of(F.col("line")), WORDS, one_word_apart)
+
+
+def dropped_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST, max_words: int = 0) -> DataFrame:
     """doc_id, text_hash and line_no (from 0) of each line that goes."""
-    if max_edits not in (0, 1):
-        raise ValueError("the edit bound is 0 or 1")
+    if max_edits not in (0, 1) or max_words not in (0, 1):
+        raise ValueError("the edit bound is 0 or 1, and so is that in words")
     lines = lines_of(docs, least)
     firsts = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")), "line-firsts")
     gone = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
-    if max_edits:
-        near = durable(near_lines(lines, firsts.select("h1", "h2", "first")), "near-lines")
+    found = [f(lines, firsts.select("h1", "h2", "first")) for bound, f in ((max_edits, near_lines), (max_words, near_long_lines)) if bound]
+    if found:
+        near = durable(reduce(DataFrame.unionByName, found).distinct(), "near-lines")
         gone = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     rows = lines.select(*_PLACE, "h1", "h2").join(gone, ["h1", "h2"])
     return rows.where(F.col("near") | (F.struct(*_PLACE) != F.col("first"))).select(*_PLACE)
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST, max_words: int = 0) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``, and columns n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = dropped_lines(docs, max_edits, least).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped_lines(docs, max_edits, least, max_words).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))

@@ -1,6 +1,7 @@
 """Line and document deduplication against brute force, and their edge cases."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -62,6 +63,32 @@ def test_lines_edge_cases(spark):
         line_dedup.dedup_lines(spark.createDataFrame([], DOCS), max_edits=2)
 
 
+def words_apart(a: str, b: str) -> bool:
+    """One word replaced, put in or left out; longer words count in pieces of 20 characters."""
+    a, b = sorted((re.findall("[^ ]{1,20} ?| ", x + " ") for x in (a, b)), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_lines_by_words_like_brute_force(spark, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.choice([1, 3, 6, 19, 20, 21, 45])))
+    bases = [[word() for _ in range(r.randint(1, 14))] for _ in range(10)]
+    lines = []
+    for _ in range(160):
+        line = list(r.choice(bases))
+        for _ in range(r.randint(0, 2)):
+            at = r.choice([0, len(line), r.randrange(len(line) + 1)])
+            line[at : at + r.randint(0, 1)] = r.choice([[], [word()], [""]])
+        lines.append(" ".join(line))
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS), max_words=1)
+    gone = {i for i, x in enumerate(lines) if len(x) >= 16 and any(near(x, y) or (min(len(x), len(y)) >= 100 and words_apart(x, y)) for y in lines[:i] if len(y) >= 16)}
+    assert {x.doc_id for x in got.collect() if x.n_dropped} == gone
+    assert any(not any(near(lines[i], y) for y in lines[:i]) for i in gone)
+
+
 def shingles(text, width):
     words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").split(" ") if w]
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
