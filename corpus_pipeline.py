@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that stand earlier; a document of which nothing but blanks is left goes."""
-    found = line_dedup.dedup_lines(docs.select(COLUMNS), max_words=1)
+    found = line_dedup.dedup_lines(docs.select(COLUMNS), max_words=1, least_equal=1)
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s", "")) == "")
     return found.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
-#: Shortest line, in characters, that is compared at all.
+#: Shortest line, in characters, that is compared within an edit distance.
 LEAST = 16
 COARSE, FINE = 2, 8
 #: Lines of so many characters are also compared by words; of longer words, pieces of WORD characters count as words.
@@ -144,25 +144,27 @@ def near_long_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return _near(lines.where(F.length("line") >= LONG), firsts, end_keys(F.col("line")), words_of(F.col("line")), WORDS, one_word_apart)
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST, max_words: int = 0) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST, max_words: int = 0, least_equal: int | None = None) -> DataFrame:
     """doc_id, text_hash and line_no (from 0) of each line that goes."""
     if max_edits not in (0, 1) or max_words not in (0, 1):
         raise ValueError("the edit bound is 0 or 1, and so is that in words")
-    lines = lines_of(docs, least)
-    firsts = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")), "line-firsts")
+    lines = every = lines_of(docs, least)
+    if least_equal is not None and least_equal < least:
+        every = lines_of(docs, least_equal).where((F.length("line") >= least) | F.col("line").rlike(r"\S"))
+    firsts = durable(every.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")), "line-firsts")
     gone = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     found = [f(lines, firsts.select("h1", "h2", "first")) for bound, f in ((max_edits, near_lines), (max_words, near_long_lines)) if bound]
     if found:
         near = durable(reduce(DataFrame.unionByName, found).distinct(), "near-lines")
         gone = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    rows = lines.select(*_PLACE, "h1", "h2").join(gone, ["h1", "h2"])
+    rows = every.select(*_PLACE, "h1", "h2").join(gone, ["h1", "h2"])
     return rows.where(F.col("near") | (F.struct(*_PLACE) != F.col("first"))).select(*_PLACE)
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST, max_words: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST, max_words: int = 0, least_equal: int | None = None) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``, and columns n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = dropped_lines(docs, max_edits, least, max_words).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped_lines(docs, max_edits, least, max_words, least_equal).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))

@@ -89,6 +89,12 @@ def test_long_lines_by_words_like_brute_force(spark, seed):
     assert any(not any(near(lines[i], y) for y in lines[:i]) for i in gone)
 
 
+def test_short_lines_go_if_equal(spark):
+    rows = [(1, "Les.\n\n  \nOf, edti oner.\nx\n}"), (2, "Les.\n\n  \nOf, edti oner!\nx\na line that is long enough"), (3, "}\na line that is long enouch")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), least_equal=1)
+    assert {x.doc_id: x.text for x in got.collect()} == {1: rows[0][1], 2: "\n  \nOf, edti oner!\na line that is long enough", 3: ""}
+
+
 def shingles(text, width):
     words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").split(" ") if w]
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
