@@ -113,8 +113,9 @@ def _near(lines: DataFrame, firsts: DataFrame, keys_of: Column, parts: Column, u
     near = near.join(firsts, ["h1", "h2"]).where(F.struct(*_PLACE) == F.col("first")).select("h1", "h2", "first", "line")
     near = durable(near.distinct().select("h1", "h2", "first", parts.alias("parts")), "line-candidates")
 
-    fine = near.select("h1", "h2", "first", "parts", F.explode(block_keys(F.col("parts"), FINE, unit)).alias("k")).select("h1", "h2", "first", "parts", "k.over", "k.block", "k.key")
-    fine = durable(fine.join(_shared(fine), "key", "left_semi"), "line-eighths")
+    fine = near.select("h1", "h2", "first", F.explode(block_keys(F.col("parts"), FINE, unit)).alias("k")).select("h1", "h2", "first", "k.over", "k.block", "k.key")
+    fine = durable(fine.join(_shared(fine), "key", "left_semi").drop("key"), "line-eighths")
+    fine = fine.join(near.select("h1", "h2", "parts"), ["h1", "h2"])
     size = size_of(F.col("parts")) - F.col("over")
     start, end = F.floor(size * F.col("block") / FINE).cast("int"), F.floor(size * (F.col("block") + 1) / FINE).cast("int") - 1 + F.col("over")
     spots = fine.where(end >= start).select("h1", "h2", "first", "over", "parts", F.explode(F.sequence(start, end)).alias("at"))
