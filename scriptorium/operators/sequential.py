@@ -19,15 +19,14 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", F.md5("kept").alias("kept_md5"))
 
 
-def resolved_names(docs: DataFrame, least: float = 0.93) -> DataFrame:
-    """Names (two capitalised words) to the surest of those that are equal, initials of it, or alike.
+def resolved_names(docs: DataFrame, least: float = 0.85) -> DataFrame:
+    """Names (two capitalised words, or an initial and one) to the surest of those that are equal, initials of it, or alike.
 
-    Equal names are one row first; alike ones meet within a language and the first letters of both words.
+    Equal names are one row first; then all names of a language are compared, in order, in one task.
     """
-    found = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,} [A-Z][a-z]{2,}"), F.lit(0))).alias("name"))
+    found = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(?:[A-Z][a-z]{2,}|\b[A-Z]\.?) [A-Z][a-z]{2,}"), F.lit(0))).alias("name"))
     names = found.groupBy(F.col("lang").alias("label"), "name").agg(F.count("*").cast("double").alias("confidence"))
-    block = F.concat(F.substring("name", 1, 2), F.substring(F.split("name", " ")[1], 1, 2))
-    return names.withColumn("block", block).groupBy("label", "block").applyInPandas(kernels.name_clusters(least), "label string, name string, leader string")
+    return names.groupBy("label").applyInPandas(kernels.name_clusters(least), "label string, name string, leader string")
 
 
 def evidence(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
