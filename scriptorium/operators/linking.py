@@ -12,6 +12,8 @@ from . import dedupe
 
 #: Fixed value: what counts as an entity here, a longer capitalised ASCII word.
 ENTITY = "[A-Z][a-z]{6,}"
+#: What the SQL of ``entity_cooccurrence`` counts as one, and therefore the query: words of nine letters and more.
+SQL_ENTITY = "[A-Z][a-z]{8,}"
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -19,10 +21,10 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), F.lower))).alias("entity"))
 
 
-def cooccurrence(docs: DataFrame, least: int = 2) -> DataFrame:
+def cooccurrence(docs: DataFrame, least: int = 2, pattern: str = ENTITY) -> DataFrame:
     """Pairs of entities in the same line, in at least ``least`` lines."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    e = lines.select("doc_id", "line", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit("[A-Z][a-z]{8,}"), F.lit(0)), F.lower))).alias("entity"))
+    e = lines.select("doc_id", "line", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(pattern), F.lit(0)), F.lower))).alias("entity"))
     a, b = e.alias("a"), e.alias("b")
     pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.entity") < F.col("b.entity")))
     return pairs.groupBy(F.col("a.entity").alias("entity_a"), F.col("b.entity").alias("entity_b")).agg(F.count("*").alias("n"), F.countDistinct("a.doc_id").alias("docs")).where(F.col("n") >= least)
@@ -150,7 +152,7 @@ def queries() -> dict[str, tuple]:
     gram = "CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{m}], ' ')) ELSE [] END"
     return {
         "entity_cooccurrence": (
-            on("documents", cooccurrence),
+            on("documents", lambda docs: cooccurrence(docs, pattern=SQL_ENTITY)),
             """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM documents), e AS (SELECT DISTINCT doc_id, line, lower(unnest(regexp_extract_all(s, '[A-Z][a-z]{8,}'))) AS entity FROM l)
             SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n, count(DISTINCT a.doc_id) AS docs FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.line = b.line AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2""",
         ),

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from scriptorium.operators import dedupe, kernels, rules, sequential
+from scriptorium.operators import dedupe, kernels, linking, rules, sequential
 from scriptorium.plans import ask
 
 
@@ -63,6 +63,11 @@ def test_names_across_first_letters_and_initials(spark):
     assert {(x.label, x.name): x.leader for x in got} == want | {("en", x): "Jonathan Smith" for x in ("Jonathan Smith", "Jonathan Msith", "J. Smith")}
 
 
+def test_cooccurrence_of_entities_of_seven_letters(spark):
+    docs = spark.createDataFrame([(1, "Abcdefg and Hijklmno"), (2, "Hijklmno, Abcdefg, Abcdef")], "doc_id long, text string")
+    assert [tuple(x) for x in linking.cooccurrence(docs).collect()] == [("abcdefg", "hijklmno", 2, 2)]
+
+
 def test_greedy_deduplication_like_brute_force(spark):
     r = random.Random(7)
     pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(80)})
