@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +38,58 @@ def run_select(spark: SparkSession, query: str, limit: int = 200) -> DataFrame:
     return spark.sql(select_only(query)).limit(limit)
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a local one only where it is unset), read back."""
-    import tempfile
-    import uuid
+#: Paths written by ``durable``, one list for each open ``scratch``.
+_written: list[list[str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and everything runs in one JVM."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="scriptorium-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def durable(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: lineage ends here, columns prune, executors may go.
+
+    Inside a ``scratch`` the table goes with it, or, if to ``keep``, with the scratch around that one.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scriptorium/{tag}-{uuid.uuid4().hex}"
+    open_lists = _written[:-1] if keep else _written
+    if open_lists:
+        open_lists[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``durable`` wrote inside it without ``keep``: nothing may read them later."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            delete(spark, path)
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether a count proves that ``df`` has at most ``rows`` rows."""
+    return df.limit(rows + 1).count() <= rows
+
 
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="scriptorium-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/scriptorium/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for a broadcast if a count proves that it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
