@@ -6,49 +6,29 @@ passes instead of a Python object per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import durable, scratch, small, table
+
+__all__ = ["durable", "scratch", "small", "table"]
+
 #: Bytes of text that a numpy kernel works on at once; longer single texts form a slice of their own.
 SLICE_BYTES = 2 << 20
 #: Rows that one Arrow batch carries to Python.
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches: texts may be long, and both sides hold a batch in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="scriptorium-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, columns prune, executors may go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scriptorium/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_mod(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, scratch
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -20,16 +20,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round joins every node's neighbours to the smallest of them; rounds grow with the logarithm of the nodes.  Edges
     with a null end and loops are ignored; repeated edges count once; no edges give no rows.
     """
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    seen = _print_of(now)
-    while True:
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(smallest, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        now = durable(moved.select("e.hi", "e.lo").where("hi <> lo").distinct(), "stars")
-        after = _print_of(now)
-        if after == seen:
-            return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
-        seen = after
+    with scratch(edges.sparkSession):
+        now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+        seen = _print_of(now)
+        while True:
+            both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+            smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+            moved = large.join(smallest, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+            now = durable(moved.select("e.hi", "e.lo").where("hi <> lo").distinct(), "stars")
+            after = _print_of(now)
+            if after == seen:
+                found = now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+                return durable(found, "components", keep=True)
+            seen = after

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_BLANK, durable, mix, shingle_hashes, slices, span_hashes, spans, table, text_bytes, tune
+from .common import LOWER, NOT_BLANK, durable, mix, scratch, shingle_hashes, slices, span_hashes, spans, table, text_bytes, tune
 from .graph import connected_components
 
 BANDS, ROWS = 32, 4
@@ -198,9 +198,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row given."""
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = durable(signature_table(docs, width), "signatures")
+    signed = durable(signature_table(docs, width), "signatures", keep=True)
     full = signed.where("n > 0 and doc_id is not null")
-    classes = durable(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    classes = durable(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes", keep=True)
+    with scratch(docs.sparkSession):
+        found = _components(docs, full, classes, width, percent)
+    own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    out = own.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components(docs: DataFrame, full: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """id and component of the classes' representatives that are linked to others."""
     reps = full.join(classes.select("fp1", "fp2", "n", F.col("rep").alias("doc_id")), ["fp1", "fp2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = durable(reps.select(F.col("doc_id").alias("id"), "bands", "sketch"), "representatives")
 
@@ -215,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b")
     links = durable(_confirmed(stars, texts, width, percent), "links")
-    found = durable(connected_components(links), "components")
+    found = connected_components(links)
 
     # What a bucket holds of several components is compared across them, where rare shingles meet.
     labelled = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -233,11 +242,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     across = left.join(right, "shingle").where(apart & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     more = durable(_confirmed(across, texts, width, percent), "more-links")
     if not more.isEmpty():
-        found = durable(connected_components(links.unionByName(more)), "components")
-
-    own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    out = own.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        found = connected_components(links.unionByName(more))
+    return durable(found, "components", keep=True)
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -63,6 +64,21 @@ def test_lines_edge_cases(spark):
         line_dedup.dedup_lines(spark.createDataFrame([], DOCS), max_edits=2)
 
 
+def test_very_long_lines_and_texts_of_many_lines(spark):
+    """The work follows the length of a line, whether it is all alike or not, and the number of a text's lines."""
+    r = random.Random(3)
+    mixed = "".join(r.choice("abcdefgh ") for _ in range(120_000))
+    alike = "y" * 60_000
+    many = "\n".join(f"line number {i} of a long text, {r.random()}" for i in range(20_000))
+    rows = [(1, mixed), (2, mixed[:60_000] + "#" + mixed[60_001:]), (3, mixed[:-1]), (4, alike), (5, alike + "y"), (6, many), (7, many.split("\n")[7_777] + "\nThis line is new here.")]
+    began = time.time()
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[k].text == t for k, t in rows] == [True, False, False, True, False, True, False]
+    assert [got[k].n_dropped for k, _ in rows] == [0, 1, 1, 0, 1, 0, 1]
+    assert got[7].text == "This line is new here."
+    assert time.time() - began < 120
+
+
 def words_apart(a: str, b: str) -> bool:
     """One word replaced, put in or left out; longer words count in pieces of 20 characters."""
     a, b = sorted((re.findall("[^ ]{1,20} ?| ", x + " ") for x in (a, b)), key=len)
