@@ -1,21 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds (runs of LEAST words) that a document shares with a benchmark item join the two; the pair's words are then tiled:
-again and again the longest common runs of words that no tile has taken yet are found by running Karp-Rabin hashes and
-marked.  Tiles need not keep their order, so passages whose parts were moved still add up.  An item is held to be leaked
-if tiles cover a share of its words.
-
-The benchmark travels to the workers in blocks of bounded size, one pass over the documents for each; documents are not
-shuffled at all.
+Seeds (hashes of runs of LEAST words) of documents and benchmark items are joined.  One pass over the documents keeps the
+places whose seed a bitmap of the benchmark's seeds admits (a bitmap of fixed size, whatever the benchmark); those
+rows meet the benchmark's seeds in a join, and pairs whose shared seeds could cover enough of the item are tiled: again
+and again the longest common run of words that no tile has taken yet is found by running Karp-Rabin hashes and marked.
+Tiles need not keep their order, so passages whose parts were moved still add up.  An item is held to be leaked if tiles
+cover a share of its words.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z lowered.  Defined results: null and empty texts match
-nothing; items shorter than LEAST words take no part; repeated documents and items each give their pairs; either table
-may be empty.
+nothing; items shorter than LEAST words, and those with a null id, take no part; repeated documents and items each give
+their pairs; either table may be empty.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, shingle_hashes, slices, span_hashes, spans, table, text_bytes, tune
+from .common import ALNUM, LOWER, durable, scratch, shingle_hashes, slices, small, span_hashes, spans, table, text_bytes, tune
 
-#: Words in the shortest tile, share of an item's words that tiles must cover, and characters of items in a block.
-LEAST, COVERED, BLOCK_CHARS = 5, 0.5, 8 << 20
-_PRIME, _RADIX = (1 << 61) - 1, 0x1F3D5B79
+#: Words in the shortest tile, and the share of an item's words that tiles must cover.
+LEAST, COVERED = 5, 0.5
+#: Bits, as a power of two, of the bitmap of the benchmark's seeds.
+BITS = 26
+_RADIX = np.uint64(0x1F3D5B79A4C68E97)
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,177 +38,196 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(lowered, starts, ends), rows
 
 
-def _windows(words: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """Start and running hash of every window of ``size`` free words."""
-    top, value, run = pow(_RADIX, size - 1, _PRIME), 0, 0
-    for i, word in enumerate(words):
-        if not free[i]:
-            value = run = 0
-            continue
-        if run == size:
-            value = (value - words[i - size] * top) % _PRIME
-        else:
-            run += 1
-        value = (value * _RADIX + word) % _PRIME
-        if run == size:
-            yield i - size + 1, value
-
-
-def tile(item: list[int], text: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word sequences: (start in item, start in text, length) of each tile, longest first found."""
-    free_item, free_text, tiles = [True] * len(item), [True] * len(text), []
-    size = min(len(item), len(text))
-    while size >= least:
-        where = defaultdict(list)
-        for start, value in _windows(text, free_text, size):
-            where[value].append(start)
-        found, longer = [], 0
-        for start, value in _windows(item, free_item, size):
-            for at in where.get(value, ()):
-                if item[start : start + size] != text[at : at + size]:
-                    continue  # equal hashes, other words
-                length = size
-                while start + length < len(item) and at + length < len(text) and item[start + length] == text[at + length] and free_item[start + length] and free_text[at + length]:
-                    length += 1
-                found.append((-length, start, at))
-                longer = max(longer, length)
-        if longer > 2 * size:  # much longer than looked for: look for those first
-            size = longer
-            continue
-        for length, start, at in sorted(found):
-            length = -length
-            if all(free_item[start : start + length]) and all(free_text[at : at + length]):
-                free_item[start : start + length] = free_text[at : at + length] = [False] * length
-                tiles.append((start, at, length))
-        # A part of a match that a longer one cut may still be a tile of this size or less.
-        if size == least:
-            if not any(all(free_item[s : s + least]) and all(free_text[a : a + least]) for _, s, a in found):
-                break
-        else:
-            size = max(least, size // 2)
+class Side:
+    """One of the two word sequences: its words, which of them are free, and running hashes of its windows."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.free = words, np.ones(len(words), bool)
+        powers = np.full(len(words) + 1, _RADIX)
+        powers[0] = 1
+        self.powers = np.multiply.accumulate(powers)
+        # sums[i] is the hash of the first i words; a window's follows from two of them.
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        value = 0
+        for i, word in enumerate(words.tolist()):
+            value = (value * int(_RADIX) + word) & 0xFFFFFFFFFFFFFFFF
+            self.sums[i + 1] = value
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every window of ``size`` free words."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        starts = np.flatnonzero(taken[size:] == taken[:-size]) if len(self.words) >= size else np.zeros(0, np.int64)
+        return starts, self.sums[starts + size] - self.sums[starts] * self.powers[size]
+
+
+def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two word sequences: (start in item, start in text, length) of each tile, longest first.
+
+    Of equal lengths the earliest in the item comes first, with its earliest free place in the text.  The longest length
+    is found by halving, as a common window has shorter ones in it; each round takes all tiles of one length, and
+    lengths only fall, so that repetitive sequences take few rounds.
+    """
+    a, b = Side(np.asarray(item, np.uint64)), Side(np.asarray(text, np.uint64))
+    tiles, most = [], min(len(a.words), len(b.words))
+    while most >= least:
+        low, high = least - 1, most  # common windows of ``low`` words exist, unless it is still below ``least``
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.isin(a.windows(size)[1], b.windows(size)[1]).any():
+                low = size
+            else:
+                high = size - 1
+        if low < least:
+            break
+        size = low
+        (starts_a, of_a), (starts_b, of_b) = a.windows(size), b.windows(size)
+        order = np.argsort(of_b, kind="stable")
+        starts_b, of_b = starts_b[order], of_b[order]
+        first, end = np.searchsorted(of_b, of_a, "left"), np.searchsorted(of_b, of_a, "right")
+        at: dict[int, int] = {}  # how far each window's places in the text are used up
+        for start, lo, hi in zip(starts_a.tolist(), first.tolist(), end.tolist(), strict=True):
+            if lo == hi or not (a.free[start] and a.free[start + size - 1]):
+                continue
+            place = at.get(lo, lo)
+            while place < hi:
+                there = int(starts_b[place])
+                place += 1
+                # Windows were free when the round began, and its tiles are all of this size: looking at the ends suffices.
+                if b.free[there] and b.free[there + size - 1] and (a.words[start : start + size] == b.words[there : there + size]).all():
+                    a.free[start : start + size] = b.free[there : there + size] = False
+                    tiles.append((start, there, size))
+                    break
+            at[lo] = place
+        most = size - 1
     return tiles
 
 
-class Items:
-    """A block of benchmark items: their words, and the items of each seed."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], least: int = LEAST):
-        words, rows = word_hashes(pa.array(texts, pa.string()))
-        self.ids, self.least = ids, least
-        cuts = np.searchsorted(rows, np.arange(len(ids) + 1))
-        self.words = [words[cuts[i] : cuts[i + 1]] for i in range(len(ids))]
-        seeds, owners = shingle_hashes(words, rows, len(ids), least)
-        whole = np.array([len(self.words[o]) >= least for o in owners], bool)
-        self.seeds, at = np.unique(seeds[whole], return_inverse=True)
-        self.items_of = [set() for _ in self.seeds]
-        for k, owner in zip(at, owners[whole], strict=True):
-            self.items_of[k].add(int(owner))
-        # A bit table of seed hashes answers most look-ups without a search.
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose hash is a seed, and which seed."""
-        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe) or not len(self.seeds):
-            return maybe[:0], maybe[:0]
-        at = np.minimum(np.searchsorted(self.seeds, hashes[maybe]), len(self.seeds) - 1)
-        real = self.seeds[at] == hashes[maybe]
-        return maybe[real], at[real]
-
-    def matches(self, words: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """Items that share a seed with a document's words, and their tiles."""
-        if len(words) < self.least:
-            return []
-        seeds, _ = shingle_hashes(words, np.zeros(len(words), np.int64), 1, self.least)
-        places, which = self.hits(seeds)
-        by_item = defaultdict(list)
-        for place, k in zip(places.tolist(), which.tolist(), strict=True):
-            for i in self.items_of[k]:
-                by_item[i].append(place)
-        found = []
-        for i, starts in sorted(by_item.items()):
-            # Only words within a shared seed can be tiled; runs of them are kept apart by a word that matches nothing.
-            text, origin, end = [], [], -1
-            for s in starts:
-                if s > end and text:
-                    text.append(-1)
-                    origin.append(-1)
-                for p in range(max(s, end), s + self.least):
-                    text.append(int(words[p]))
-                    origin.append(p)
-                end = s + self.least
-            found.append((i, [(a, origin[b], n) for a, b, n in tile([int(w) for w in self.words[i]], text, self.least)]))
-        return found
-
-
-def leaks(part: pa.RecordBatch, items: Items, covered: float) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
-    """Row, item, matched words and tiles of each leak into a batch of documents."""
-    words, rows = word_hashes(part.column("text"))
-    seeds, owners = shingle_hashes(words, rows, part.num_rows, items.least)
-    for row in np.unique(owners[items.hits(seeds)[0]]).tolist():
-        own = words[np.searchsorted(rows, row) : np.searchsorted(rows, row + 1)]
-        for i, tiles in items.matches(own):
-            matched = sum(n for _, _, n in tiles)
-            if matched >= covered * len(items.words[i]):
-                yield row, i, matched, tiles
-
-
-def blocks_of(benchmark: DataFrame, least: int) -> Iterator[Items]:
-    """The benchmark in blocks of about BLOCK_CHARS characters: their number follows the benchmark, their size does not."""
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], least)
-
-
-SCHEMA = "doc_id long, item_id long, item_words int, matched_words int, coverage double, tiles array<struct<item_start:int,doc_start:int,words:int>>"
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))]
+def item_table(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """item (a number of each row), item_id and words of the items that take part."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words, rows = word_hashes(part.column("text"))
+                cuts = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(words.view(np.int64)))
+                keep = pa.array(np.diff(cuts) >= least)
+                yield pa.RecordBatch.from_arrays([part.column("item_id").filter(keep), lists.filter(keep)], ["item_id", "words"])
+
+    items = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(work, "item_id long, words array<long>")
+    return durable(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items", keep=True)
+
+
+def seed_table(items: DataFrame, least: int = LEAST) -> DataFrame:
+    """item, size (words), seed and ``places`` (how often the item has it)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            words, sizes = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            seeds, rows = shingle_hashes(words, np.repeat(np.arange(len(sizes)), sizes), len(sizes), least)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(rows)), pa.array(sizes[rows].astype(np.int64)), pa.array(seeds.view(np.int64))], ["item", "size", "seed"])
+
+    seeds = items.select("item", "words").mapInArrow(work, "item long, size long, seed long")
+    return durable(seeds.groupBy("item", "size", "seed").agg(F.count("*").alias("places")), "benchmark-seeds", keep=True)
+
+
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """2**BITS bits, set where the upper bits of a seed say: eight megabytes for a benchmark of any size."""
+    slot = F.shiftrightunsigned("seed", 64 - BITS)
+    rows = seeds.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (BITS - 6), np.int64)
+    words[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def _hits(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """doc_id, text_hash, seeds, and the words and places (origins) that admitted seeds cover, of documents that have any.
+
+    Runs of covered words are kept apart by a word -1, which matches nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def covered(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = np.zeros(len(words) + 1, np.int64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + least, -1)
+        origins = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        breaks = np.flatnonzero(np.diff(origins) > 1) + 1
+        return np.insert(words[origins], breaks, np.uint64(0xFFFFFFFFFFFFFFFF)), np.insert(origins, breaks, -1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("seeds", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("origins", pa.list_(pa.int32()))])
+        for batch in batches:
+            for part in slices(batch):
+                words, rows = word_hashes(part.column("text"))
+                seeds, owners = shingle_hashes(words, rows, part.num_rows, least)
+                slots = seeds >> np.uint64(64 - BITS)
+                hit = np.flatnonzero((bits[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1))
+                firsts = np.searchsorted(rows, np.arange(part.num_rows + 1))
+                firsts_of_seeds = np.searchsorted(owners, np.arange(part.num_rows + 1))
+                found = []
+                for row in np.unique(owners[hit]).tolist():
+                    if firsts[row + 1] - firsts[row] < least:
+                        continue
+                    places = hit[np.searchsorted(hit, firsts_of_seeds[row]) : np.searchsorted(hit, firsts_of_seeds[row + 1])]
+                    text, origins = covered(words[firsts[row] : firsts[row + 1]], places - firsts_of_seeds[row])
+                    found.append((part.column("doc_id")[row].as_py(), part.column("text_hash")[row].as_py(), np.unique(seeds[places]).view(np.int64), text.view(np.int64), origins.astype(np.int32)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(work, "doc_id long, text_hash long, seeds array<long>, words array<long>, origins array<int>")
+
+
+SCHEMA = "doc_id long, text_hash long, item_id long, item_words int, matched_words int, coverage double, tiles array<struct<item_start:int,doc_start:int,words:int>>"
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
+    """One row for each document and item that leaked into it; ``text_hash`` tells documents of one id apart."""
+    spark = docs.sparkSession
+    tune(spark)
+    with scratch(spark):
+        items = item_table(benchmark, least)
+        seeds = seed_table(items, least)
+        hits = durable(_hits(docs, bitmap(seeds), least).withColumn("doc", F.monotonically_increasing_id()), "seed-hits")
+        met = hits.select("doc", F.explode("seeds").alias("seed")).join(small(seeds), "seed")
+        # A seed covers as many words as the shortest tile at the most, so fewer shared ones cannot cover enough of the item.
+        pairs = met.groupBy("doc", "item", "size").agg(F.sum("places").alias("places")).where(F.col("places") * least >= covered * F.col("size"))
+        both = pairs.select("doc", "item").join(hits.select("doc", "doc_id", "text_hash", F.col("words").alias("text"), "origins"), "doc")
+        both = both.join(small(items.select("item", "item_id", F.col("words").alias("item_text")), 20_000), "item")
 
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for row in range(batch.num_rows):
+                    one = lambda name: batch.column(name)[row]  # noqa: B023, E731
+                    item, text, origins = (one(name).values.to_numpy() for name in ("item_text", "text", "origins"))
+                    tiles = tile(item.view(np.uint64), text.view(np.uint64), least)
+                    matched = sum(n for _, _, n in tiles)
+                    if matched >= covered * len(item):
+                        spans_of = [{"item_start": a, "doc_start": int(origins[b]), "words": n} for a, b, n in tiles]
+                        found.append((one("doc_id").as_py(), one("text_hash").as_py(), one("item_id").as_py(), len(item), matched, matched / len(item), spans_of))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), _KINDS, strict=True)], ["doc_id", "text_hash", "item_id", "item_words", "matched_words", "coverage", "tiles"])
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
-    """One row for each document and benchmark item that leaked into it, with its tiles."""
-    tune(docs.sparkSession)
+        rows = both.select("doc_id", "text_hash", "item_id", "text", "origins", "item_text").mapInArrow(work, SCHEMA)
+        return durable(rows, "leaks", keep=True)
 
-    def against(items: Items) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                for part in slices(batch):
-                    out = []
-                    for row, i, matched, tiles in leaks(part, items, covered):
-                        size = len(items.words[i])
-                        out.append((part.column("doc_id")[row].as_py(), items.ids[i], size, matched, matched / size, [{"item_start": a, "doc_start": b, "words": n} for a, b, n in tiles]))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(_KINDS)], ["doc_id", "item_id", "item_words", "matched_words", "coverage", "tiles"])
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))]
 
-        return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
 
-    first, *rest = [against(items) for items in blocks_of(benchmark, least)]
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
+    """doc_id, item_id, item_words, matched_words, coverage and tiles of each document and item that leaked into it."""
+    return leaks(docs, benchmark, covered, least).drop("text_hash")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
     """The documents, with all their columns, into which no item leaked."""
-    tune(docs.sparkSession)
-    for items in blocks_of(benchmark, least):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[row for row, *_ in leaks(part, shared.value, covered)]] = False
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+    gone = leaks(docs, benchmark, covered, least).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    return docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
