@@ -115,7 +115,7 @@ def item_table(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("item_id").filter(keep), lists.filter(keep)], ["item_id", "words"])
 
     items = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(work, "item_id long, words array<long>")
-    return durable(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items", keep=True)
+    return durable(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
 
 
 def seed_table(items: DataFrame, least: int = LEAST) -> DataFrame:
@@ -129,7 +129,7 @@ def seed_table(items: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(rows)), pa.array(sizes[rows].astype(np.int64)), pa.array(seeds.view(np.int64))], ["item", "size", "seed"])
 
     seeds = items.select("item", "words").mapInArrow(work, "item long, size long, seed long")
-    return durable(seeds.groupBy("item", "size", "seed").agg(F.count("*").alias("places")), "benchmark-seeds", keep=True)
+    return durable(seeds.groupBy("item", "size", "seed").agg(F.count("*").alias("places")), "benchmark-seeds")
 
 
 def bitmap(seeds: DataFrame) -> np.ndarray:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -194,13 +195,17 @@ def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int
     return texts.select("doc_id", "text").mapInArrow(work, "id long, n long, shingle long, place long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row given."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row given.
+
+    With ``only`` (a doc_id column), other documents take no part and give no row.
+    """
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = durable(signature_table(docs, width), "signatures", keep=True)
+    signatures = signature_table(docs, width)
+    signed = durable(signatures if only is None else signatures.join(only.select("doc_id").distinct(), "doc_id", "left_semi"), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
-    classes = durable(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes", keep=True)
+    classes = durable(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
     with scratch(docs.sparkSession):
         found = _components(docs, full, classes, width, percent)
     own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
@@ -246,10 +251,21 @@ def _components(docs: DataFrame, full: DataFrame, classes: DataFrame, width: int
     return durable(found, "components", keep=True)
 
 
-def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; all columns stay."""
-    dropped = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, before: DataFrame | None = None) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id; all columns stay.
+
+    ``before`` may give what the documents' texts were before lines were taken out of them; documents that were
+    near-duplicates then are a group as well, as all that is left of a copy may be the lines that tell it apart.
+    """
+    spark = docs.sparkSession
+    links = []
+    for texts, only in ((docs, None), (before, docs)):
+        if texts is not None:
+            with scratch(spark):
+                found = near_duplicates(texts, width, percent, only).where("doc_id <> component_id")
+                links.append(durable(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), "near-links", keep=True))
+    groups = connected_components(reduce(DataFrame.unionByName, links)) if before is not None else links[0].select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return docs.join(groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
