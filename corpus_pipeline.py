@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from scriptorium.llm.common import durable, table
+from scriptorium.llm.common import durable, scratch, table
 
 #: Documents whose language is told with less than this go (an even guess among four languages scores 0.25).
 LEAST_LANGUAGE_SCORE = 0.3
@@ -32,8 +32,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group (five-word shingles, similarity 0.8 or more)."""
-    return near_dedup.deduplicated(docs.select(COLUMNS))
+    """Keeps one document of each group (five-word shingles, similarity 0.8 or more).
+
+    Groups are those of the texts given, put together with those that the same documents made before lines were taken
+    out of them: of a near-copy only the lines that tell it apart may be left, which are like nothing else.
+    """
+    return near_dedup.deduplicated(docs.select(COLUMNS), before=table(spark, sf_dir, "documents"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +56,6 @@ STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
