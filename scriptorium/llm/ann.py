@@ -7,7 +7,12 @@ two.
 
 A query makes one table of inner products with all codewords; the distance to a coded vector is then a few look-ups and
 the stored norm.  By the triangle inequality the true distance lies within the stored distance of it, so whatever cannot
-be among a block's nearest is left out, and what remains is ranked by exact distances.  Results are therefore exact.
+be among the nearest is left out, and what remains is ranked by exact distances.  Results are therefore exact.
+
+The search is one join.  Index rows lie in cells, one for each word of the first codebook, and each cell has a centre and
+a radius.  A query begins with a bound, the distance of the last of its nearest among the vectors that the codebooks were
+fitted on, and goes only to the cells that reach within it.  Cells are dealt into parts and their queries into blocks of
+bounded size; rows and queries meet by cell, part and block, and no row beyond a query's bound leaves a task.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, neither as query nor as candidate; ties go to the smaller id; a query's own id is never a candidate, while equal
@@ -24,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import durable, table
+from .common import durable, table, tune
 from .sampling import bounded
 
-#: Codebooks, codewords in each, vectors they are fitted on, beams kept, and queries that are broadcast at a time.
-BOOKS, WORDS, FIT_ROWS, BEAMS, QUERY_BLOCK = 6, 64, 8192, 4, 4096
+#: Codebooks, codewords in each, vectors they are fitted on, beams kept; about so many rows and queries meet in a task at once.
+BOOKS, WORDS, FIT_ROWS, BEAMS, PART_ROWS, BLOCK_QUERIES = 6, 64, 8192, 4, 8192, 2048
+#: Query and row pairs whose approximate distances are held at once.
+PAIRS = 1 << 17
 NEAREST = 10
 
 
@@ -95,13 +102,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def build(rows: DataFrame, width: int) -> tuple[Quantiser | None, DataFrame | None]:
-    """The quantiser, fitted on about FIT_ROWS rows, and the index of all rows: id, v, codes, norm, off."""
+def build(rows: DataFrame, width: int) -> tuple[Quantiser, np.ndarray, np.ndarray, DataFrame]:
+    """The quantiser, the ids and vectors (about FIT_ROWS) it was fitted on, and the index of all rows:
+    id, v, codes, norm, off, cell, and ``reach``, the distance from the cell's centre."""
     sample = bounded(rows, "id", FIT_ROWS).toArrow()
-    if not sample.num_rows:
-        return None, None
+    if not sample.num_rows:  # few rows, and the hash spared none of them
+        sample = rows.orderBy("id").limit(FIT_ROWS).toArrow()
     order = np.argsort(sample["id"].to_numpy(), kind="stable")
-    quantiser = Quantiser(_matrix(sample["v"].combine_chunks(), width)[order])
+    ids, fitted = sample["id"].to_numpy()[order], _matrix(sample["v"].combine_chunks(), width)[order]
+    quantiser = Quantiser(fitted)
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,68 +123,95 @@ def build(rows: DataFrame, width: int) -> tuple[Quantiser | None, DataFrame | No
                 near = q.decode(codes)
                 flat = pa.array(codes.astype(np.int32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * codes.shape[1]), flat)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), lists, pa.array((near**2).sum(axis=1)), pa.array(np.sqrt(((x - near) ** 2).sum(axis=1)))], ["id", "v", "codes", "norm", "off"])
+                cells = codes[:, 0].astype(np.int32)
+                columns = [pa.array((near**2).sum(axis=1)), pa.array(np.sqrt(((x - near) ** 2).sum(axis=1))), pa.array(cells), pa.array(np.sqrt(((x - q.books[0][cells]) ** 2).sum(axis=1)))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), lists, *columns], ["id", "v", "codes", "norm", "off", "cell", "reach"])
 
-    return quantiser, durable(rows.mapInArrow(work, "id long, v array<double>, codes array<int>, norm double, off double"), "ann-index")
+    index = rows.mapInArrow(work, "id long, v array<double>, codes array<int>, norm double, off double, cell int, reach double")
+    return quantiser, ids, fitted, durable(index, "ann-index")
 
 
 def exact_distances(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - query) ** 2).sum(axis=1))
 
 
-def _best(index: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, nearest: int) -> DataFrame:
-    """For each query and each block of index rows, the block's ``nearest`` by exact distance."""
-    shared = index.sparkSession.sparkContext.broadcast((quantiser.tables(queries).astype(np.float64), ids, queries))
-    width, books = queries.shape[1], len(quantiser.books)
+def _sent(queries: DataFrame, quantiser: Quantiser, ids: np.ndarray, fitted: np.ndarray, radii: np.ndarray, nearest: int) -> DataFrame:
+    """id, v, bound and cell: each query once for every cell that reaches within its bound."""
+    shared = queries.sparkSession.sparkContext.broadcast((quantiser.books[0], ids, fitted, radii))
+    width = fitted.shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, ids, queries = shared.value
-        norms = (queries**2).sum(axis=1)
+        centres, ids, fitted, radii = shared.value
         for batch in batches:
-            own = batch.column("id").to_numpy()
-            x, codes = _matrix(batch.column("v"), width), _matrix(batch.column("codes"), books)
-            norm, off = batch.column("norm").to_numpy(), batch.column("off").to_numpy()
-            out_q, out_v, out_s = [], [], []
-            for k in range(len(ids)):
-                inner = tables[k][np.arange(books), codes].sum(axis=1)
-                about = np.sqrt(np.maximum(norms[k] + norm - 2 * inner, 0))
+            for at in range(0, batch.num_rows, max(1, PAIRS // len(fitted))):
+                part = batch.slice(at, max(1, PAIRS // len(fitted)))
+                q, own = _matrix(part.column("v"), width), part.column("id").to_numpy()
+                near = (q**2).sum(axis=1)[:, None] + (fitted**2).sum(axis=1) - 2 * q @ fitted.T
+                near = np.where(own[:, None] == ids, np.inf, np.maximum(near, 0))
+                bound = np.sqrt(np.partition(near, nearest - 1, axis=1)[:, nearest - 1]) if len(fitted) >= nearest else np.full(len(q), np.inf)
+                bound = bound * (1 + 1e-6) + 1e-6  # rounding must not rule anything out
+                away = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * q @ centres.T, 0)) * (1 - 1e-6) - 1e-6
+                rows, cells = np.nonzero((away - radii <= bound[:, None]) & (radii >= 0))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("v").take(pa.array(rows)), pa.array(bound[rows]), pa.array(cells.astype(np.int32))], ["id", "v", "bound", "cell"])
+
+    return queries.select("id", "v").mapInArrow(work, "id long, v array<double>, bound double, cell int")
+
+
+def _meet(quantiser: Quantiser, width: int, nearest: int):
+    """A cogrouped function: rows and queries of one cell, part and block to the block's nearest rows of each query."""
+
+    def work(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if rows.num_rows and asked.num_rows:
+            x, own = _matrix(rows["v"].combine_chunks(), width), rows["id"].to_numpy()
+            codes = _matrix(rows["codes"].combine_chunks(), len(quantiser.books))
+            norm, off = rows["norm"].to_numpy(), rows["off"].to_numpy()
+            q, ids, bound = _matrix(asked["v"].combine_chunks(), width), asked["id"].to_numpy(), asked["bound"].to_numpy()
+            parts = []
+            for at in range(0, len(q), max(1, PAIRS // len(x))):
+                block = slice(at, at + max(1, PAIRS // len(x)))
+                tables, norms = quantiser.tables(q[block]), (q[block] ** 2).sum(axis=1)
+                inner = sum(tables[:, b][:, codes[:, b]] for b in range(codes.shape[1]))
+                about = np.sqrt(np.maximum(norms[:, None] + norm - 2 * inner, 0))
                 slack = off + 1e-9 * (1 + about)  # rounding must not rule anything out
-                others = own != ids[k]
-                furthest = np.where(others, about + slack, np.inf)
-                bound = np.partition(furthest, nearest - 1)[nearest - 1] if len(own) > nearest else np.inf
-                rows = np.flatnonzero((about - slack <= bound) & others)
-                score = exact_distances(queries[k], x[rows])
-                top = np.lexsort((own[rows], score))[:nearest]
-                out_q.append(np.full(len(top), ids[k]))
-                out_v.append(own[rows][top])
-                out_s.append(score[top])
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(work, "query_id long, vec_id long, score double")
+                others = ids[block][:, None] != own
+                limit = bound[block]
+                if len(x) > nearest:
+                    limit = np.minimum(limit, np.partition(np.where(others, about + slack, np.inf), nearest - 1, axis=1)[:, nearest - 1])
+                hit_q, hit_x = np.nonzero((about - slack <= limit[:, None]) & others)
+                score = exact_distances(q[block][hit_q], x[hit_x])
+                order = np.lexsort((own[hit_x], score, hit_q))
+                hit_q, hit_x, score = hit_q[order], hit_x[order], score[order]
+                place = np.arange(len(hit_q)) - np.searchsorted(hit_q, hit_q)
+                keep = place < nearest
+                parts.append((ids[block][hit_q[keep]], own[hit_x[keep]], score[keep]))
+            out = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table({"query_id": pa.array(out[0]), "vec_id": pa.array(out[1]), "score": pa.array(out[2])})
+
+    return work
 
 
 def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The ``nearest`` rows of each row whose id is divisible by ``every``: query_id, rank (from 1), vec_id, score."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    tune(spark)
     rows = usable(vectors, key, column)
     widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if widths is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = widths["width"]
-    rows = rows.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
-    quantiser, index = build(rows, width)
-    queries = index.where(F.col("id") % every == 0).select("id", "v")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):  # the stated queries against all rows, in blocks of bounded size
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toArrow()
-        if part.num_rows:
-            best = _best(index, quantiser, part["id"].to_numpy(), _matrix(part["v"].combine_chunks(), width), nearest)
-            found = best if found is None else found.unionByName(best)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    quantiser, ids, fitted, index = build(rows.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v")), width)
+    cells = {r["cell"]: r for r in index.groupBy("cell").agg(F.max("reach").alias("radius"), F.count("*").alias("rows")).collect()}  # one row a codeword
+    radii = np.array([cells[c]["radius"] if c in cells else -1.0 for c in range(WORDS)])  # a cell without rows reaches nothing
+    asked = durable(_sent(index.where(F.col("id") % every == 0), quantiser, ids, fitted, radii, nearest), "ann-queries")
+    wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    of_cell = lambda counts, size: F.create_map(*(F.lit(x) for c in range(WORDS) for x in (c, max(1, -(-counts(c) // size)))))[F.col("cell")]
+    parts, blocks = of_cell(lambda c: cells[c]["rows"] if c in cells else 0, PART_ROWS), of_cell(lambda c: wanted.get(c, 0), BLOCK_QUERIES)
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = index.select("id", "v", "codes", "norm", "off", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), every_of(blocks).alias("block"))
+    right = asked.select("id", "v", "bound", "cell", every_of(parts).alias("part"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    groups = ["cell", "part", "block"]
+    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(_meet(quantiser, width, nearest), "query_id long, vec_id long, score double")
     order = W.Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")
