@@ -163,11 +163,12 @@ def _loose(text: str) -> bool:
 class Encoder:
     """Texts to ids piece by piece: each match of ``pattern`` is encoded by itself.
 
-    A single blank between two visible characters always begins a match of the pattern, so a text may be cut before such
-    blanks and every stretch looked up by itself.
+    A single blank between two visible characters always begins a match of the public pattern, so for that one a text may
+    be cut before such blanks and every stretch looked up by itself; texts are not cut for other patterns.
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.cuts_at_blanks = pattern == default_tokenizer()[1]
         self.vocabulary, self.split = vocabulary, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self._pieces: dict[str, bytes] = {}
         self._stretches: dict[str, bytes] = {}
@@ -196,7 +197,7 @@ class Encoder:
 
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text or _loose(text):
+        if not text or not self.cuts_at_blanks or _loose(text):
             return self._pack(text or "")
         head, *rest = text.split(" ")
         known, work = self._stretches.get, self._stretch

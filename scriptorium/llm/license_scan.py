@@ -154,6 +154,108 @@ proprietary | proprietary | proprietary~and~confidential|proprietary~licen[sc]e
 copyright | copyright | copyright~(?:\(c\)|©)?~?(?:19|20)\d\d
 licence-reference | spdx | spdx-license-identifier:~[a-z0-9.+-]+
 licence-reference | license | (?:see|read)~(?:the~)?(?:file~)?(?:license|copying)(?:\.txt|\.md)?~(?:file~)?for~(?:details|more|licen)
+# Passages of licence bodies, which tell a licence whose name was cut off.
+apache-2.0 | derivative works | subject~to~the~terms~and~conditions~of~this~license,?~each~contributor~hereby~grants~to~you
+apache-2.0 | notice | you~must~cause~any~modified~files~to~carry~prominent~notices
+apache-2.0 | as is | distributed~on~an~"?as~is"?~basis,?~without~warranties~or~conditions~of~any~kind
+apache-2.0 | in compliance | you~may~not~use~this~file~except~in~compliance~with~the~license
+apache-1.1 | apache | products~derived~from~this~software~may~not~be~called~"?apache
+mit | sublicense | to~use,?~copy,?~modify,?~merge,?~publish,?~distribute,?~sublicense,?~and/or~sell
+mit | substantial portions | this~permission~notice~shall~be~included~in~all~copies~or~substantial~portions
+mit | authors or copyright | in~no~event~shall~the~authors~or~copyright~holders~be~liable~for~any~claim
+isc | author disclaims | the~author~disclaims~all~warranties~with~regard~to~this~software
+isc | fee | for~any~purpose~with~or~without~fee~is~hereby~granted
+bsd-3-clause | endorse | may~be~used~to~endorse~or~promote~products~derived~from
+bsd | binary form | redistributions~in~binary~form~must~reproduce~the~above~copyright
+bsd | source code | redistributions~of~source~code~must~retain~the~above~copyright
+bsd | contributors | by~the~copyright~holders~and~contributors~"?as~is
+bsd-4-clause | acknowledgement | must~display~the~following~acknowledge?ment
+bsd-2-clause-patent | patent | bsd~(?:2~clause~)?plus~patent|bsd~\+~patent
+bsd-3-clause-clear | clear bsd | clear~bsd~licen[sc]e
+bsd-3-clause-lbnl | lawrence berkeley | lawrence~berkeley~national~lab\w*.{0,40}?bsd
+gpl | freedom | guarantee~your~freedom~to~share~and~change
+gpl | merchantability | without~even~the~implied~warranty~of~merchantability~or~fitness
+gpl-3.0 | propagate | to~"?propagate"?~a~work~means~to~do~anything~with~it
+gpl-3.0 | anti-circumvention | protecting~users'?~legal~rights~from~anti-circumvention~law
+gpl-2.0 | temple place | 59~temple~place~suite~330
+gpl-2.0 | franklin | 51~franklin~st(?:reet)?,?~fifth~floor
+gpl-2.0-or-later | either version 2 | either~version~2~of~the~license,?~or~\(?at~your~option
+gpl-3.0-or-later | either version 3 | either~version~3~of~the~license,?~or~\(?at~your~option
+lgpl-2.1-or-later | either version 2.1 | either~version~2\.1~of~the~license,?~or~\(?at~your~option
+lgpl | work that uses the library | work~that~uses~the~library
+lgpl | linked with | combined~or~linked~with~a~"?work~that~uses
+agpl-3.0 | remote network | all~users~interacting~with~it~remotely~through~a~computer~network
+gfdl | invariant sections | with~no~invariant~sections,?~no~front-?cover~texts
+gfdl | transparent copy | machine-?readable~transparent~copy
+mpl-2.0 | mpl was not distributed | if~a~copy~of~the~mpl~was~not~distributed~with~this~file
+mpl-2.0 | secondary licen | incompatible~with~secondary~licen[sc]es
+mpl-1.1 | initial developer | the~initial~developer~of~the~original~code~is
+epl | agreement steward | the~eclipse~foundation~is~the~initial~agreement~steward
+cddl-1.0 | cddl | \bcddl\b
+cc-by | attribution | you~must~give~appropriate~credit,?~provide~a~link~to~the~licen[sc]e
+cc-by-nc | noncommercial | you~may~not~use~the~material~for~commercial~purposes
+cc-by-sa | share | you~must~distribute~your~contributions~under~the~same~licen[sc]e~as~the~original
+cc-by-nd | transform | if~you~remix,?~transform,?~or~build~upon~the~material,?~you~may~not~distribute
+cc0-1.0 | waive | overtly,?~fully,?~permanently,?~irrevocably~and~unconditionally~waives
+cc0-1.0 | universal | cc0~1\.0~universal
+unlicense | dedicate | we~make~this~dedication~for~the~benefit~of~the~public~at~large
+zlib | misrepresented | the~origin~of~this~software~must~not~be~misrepresented
+zlib | altered | altered~source~versions~must~be~plainly~marked~as~such
+bsl-1.0 | machine-executable | solely~in~the~form~of~machine-executable~object~code
+ofl-1.1 | reserved font | reserved~font~name\(?s?\)?
+ofl-1.1 | bundled | may~be~bundled,?~redistributed~and/or~sold~with~any~software
+artistic-2.0 | standard version | distribution~of~modified~versions~of~the~package~as~source
+artistic-1.0 | semblance | maintains~some~semblance~of~artistic~control
+psf-2.0 | beopen | beopen\.com|corporation~for~national~research~initiatives
+openssl | openssl toolkit | software~developed~by~the~openssl~project
+ncsa | this license with the | permission~is~hereby~granted.{0,80}?to~deal~with~the~software
+postgresql | university of california | in~no~event~shall~the~university~of~california~be~liable
+wtfpl | everyone is permitted | everyone~is~permitted~to~copy~and~distribute~verbatim~or~modified
+busl-1.1 | change date | change~date:?~.{0,40}?change~licen[sc]e
+sspl-1.0 | service source code | make~the~service~source~code~available
+elastic-2.0 | managed service | provide~the~software~to~third~parties~as~a~hosted~or~managed~service
+commons-clause | sell | the~grant~of~rights.{0,60}?does~not~include.{0,60}?right~to~sell
+openrail | use-based | use-?based~restrictions~(?:as~)?(?:set~forth|in)
+llama | llama | built~with~(?:meta~)?llama
+gemma | gemma | gemma~terms~of~use
+# Further licences by name.
+0bsd | zero | zero-?clause~bsd
+afl-2.1 | academic free | academic~free~licen[sc]e.{0,20}?2\.1
+apsl-2.0 | apple | apple~public~source~licen[sc]e
+blueoak-1.0.0 | blue oak | blue~oak~model~licen[sc]e
+bittorrent-1.1 | bittorrent | bittorrent~open~source~licen[sc]e
+cecill-b | cecill | \bcecill~b\b
+cecill-c | cecill | \bcecill~c\b
+cecill-2.1 | cecill | \bcecill(?:~(?:free~software~)?licen[sc]e)?.{0,12}?2\.1
+cecill | cecill | \bcecill\b
+cpal-1.0 | attribution licen | common~public~attribution~licen[sc]e
+ecl-2.0 | educational | educational~community~licen[sc]e
+efl-2.0 | eiffel | eiffel~forum~licen[sc]e
+etalab-2.0 | etalab | (?:etalab~)?licence~ouverte|etalab~2\.0
+fair | fair licen | \bfair~licen[sc]e\b
+hpnd | historical permission | historical~permission~notice~and~disclaimer
+icu | unicode | \bicu~licen[sc]e|unicode,?~inc\.?~licen[sc]e
+ijg | jpeg group | independent~jpeg~group
+jasper-2.0 | jasper | jasper~licen[sc]e
+json | evil | shall~be~used~for~good,?~not~evil
+lppl-1.3c | latex | latex~project~public~licen[sc]e
+mulanpsl-2.0 | mulan | mulan~(?:psl|permissive~software~licen[sc]e)
+nasa-1.3 | nasa | nasa~open~source~agreement
+netcdf | netcdf | \bnetcdf~licen[sc]e
+npl-1.1 | netscape | netscape~public~licen[sc]e
+ogl-uk-3.0 | open government | open~government~licen[sc]e
+oldap-2.8 | openldap | openldap~public~licen[sc]e
+parity-7.0.0 | parity | parity~public~licen[sc]e
+prosperity-3.0.0 | prosperity | prosperity~public~licen[sc]e
+rpl-1.5 | reciprocal public | reciprocal~public~licen[sc]e
+rpsl-1.0 | realnetworks | realnetworks~public~source
+sissl | sun industry | sun~industry~standards~source~licen[sc]e
+tcl | tcl | \btcl(?:/tk)?~licen[sc]e
+unicode-3.0 | unicode | unicode~licen[sc]e~v?3
+vim | vim | \bvim~licen[sc]e
+w3c | w3c | \bw3c~(?:software|document)~(?:notice|licen[sc]e)
+watcom-1.0 | watcom | sybase~open~watcom~public~licen[sc]e
+zpl-2.1 | zope | zope~public~licen[sc]e
 """
 #: Further labels that a machine-readable SPDX tag names; each becomes a rule on the tag.
 _SPDX = """
@@ -199,6 +301,8 @@ def rules() -> tuple[Rule, ...]:
         found.append(Rule(f"cc-{elements}", "cc", re.compile(rf"\bcc[\s\-]{{1,2}}{short}\b"), 0.8))
         found.append(Rule(f"cc-{elements}", "creative commons", _compiled(rf"creative~commons~{words}"), 0.8))
     for line in _TEXTS.strip().splitlines():
+        if line.startswith("#"):
+            continue
         label, keyword, source = (x.strip() for x in line.split(" | ", 2))
         found.append(Rule(label, keyword, _compiled(source), 0.9 if re.search(r"\d", label) else 0.7))
     return tuple(found)
@@ -300,5 +404,26 @@ def license_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
 
 
+def base_counts(docs: DataFrame) -> DataFrame:
+    """What SQL can say of the scan: words, places of the base phrases, and their labels."""
+    return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_counts(table(spark, sf_dir, "documents"))
+
+
+#: The base columns: a word array for each text, and a place wherever a phrase's words are a slice of it.
+BASE_ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+phrases AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) AS t(p, label)),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS pos FROM w, phrases),
+found AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM places GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN found USING (doc_id)
+"""

@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, into a two-layer network.
 
 Random indexing gives each token a fixed sparse vector of +1 and -1 derived from a hash; a token's context vector is the
-sum of the index vectors of its neighbours.  A document is the mean of its tokens' context and index vectors.  Tokens are
-lowered words, runs of punctuation, and marks for what words do not say: capitals, a word repeated at once, a line seen
+sum of the index vectors of its neighbours, over the whole corpus: counts and sums are worked out where the texts are.
+A document is the mean of its tokens' context and index vectors.  Tokens are lowered words, runs of punctuation, and marks for what words do not say: capitals, a word repeated at once, a line seen
 before, a rare word.  The network (tanh layer, logistic output) is trained by Adam; one temperature, fitted on rows kept
 aside, calibrates its probabilities.
 
@@ -23,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, table, tune
-from .sampling import bounded
+from .common import crc32_mod, small, table, tune
+from .sampling import bounded_texts
 
-#: About so many labelled documents are learned from.
-MAX_LABELLED = 5000
+#: About so many labelled documents, and so many bytes of them, are learned from.
+MAX_LABELLED, MAX_BYTES = 5000, 64 << 20
+#: Longer tokens are rare ones.
+LONGEST_TOKEN = 64
+#: Tokens that a worker counts before it passes the counts on, and whose neighbours it adds up at once.
+COUNTED, RUN = 300_000, 100_000
 VOCABULARY, DIMENSIONS, NONZERO, WINDOW = 20_000, 64, 8, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 
@@ -63,21 +67,84 @@ def index_vector(token: str) -> np.ndarray:
     return vector
 
 
+def vocabulary(docs: DataFrame) -> list[str]:
+    """The VOCABULARY tokens that most texts have, if more than one has them; ties in order of the token."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update({t for t in tokens_of(text.as_py()) if len(t) <= LONGEST_TOKEN})
+                if len(counts) > COUNTED:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    found = docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return [r["token"] for r in found.where((F.col("n") > 1) & (F.col("token") != RARE)).orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
+
+
+class Index:
+    """Row and index vector of each token of the vocabulary; row 0 is what is rare."""
+
+    def __init__(self, tokens: list[str]):
+        self.at = {t: i + 1 for i, t in enumerate(tokens)}
+        self.vectors = np.array([index_vector(t) for t in [RARE, *tokens]])
+
+    def neighbours(self, documents: list[np.ndarray]) -> np.ndarray:
+        """Sum of the neighbours' index vectors, a row for each token."""
+        gap = len(self.vectors)  # stands between documents; its own row is left out in the end
+        ids = np.concatenate([np.append(d, [gap] * WINDOW) for d in documents])
+        spots = np.vstack([np.argsort(self.vectors == 0, axis=1, kind="stable")[:, :NONZERO], np.zeros(NONZERO, np.int64)])
+        signs = np.vstack([np.take_along_axis(self.vectors, spots[:-1], axis=1), np.zeros(NONZERO)])
+        total = np.zeros((gap + 1) * DIMENSIONS)
+        for step in range(1, WINDOW + 1):
+            for own, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
+                total += np.bincount((own[:, None] * DIMENSIONS + spots[other]).ravel(), signs[other].ravel(), len(total))
+        return total.reshape(gap + 1, DIMENSIONS)[:gap].astype(np.int64)
+
+
+def contexts(docs: DataFrame, index: Index) -> np.ndarray:
+    """Context vectors of the vocabulary over all texts; whole numbers, so that the order of adding does not matter."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, held, size = shared.value, [], 0
+        total = np.zeros(index.vectors.shape, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                tokens = tokens_of(text.as_py())
+                for at in range(0, len(tokens), RUN):  # runs overlap by nothing: the pairs across a cut are added apart
+                    held.append(np.array([index.at.get(t, 0) for t in tokens[at : at + RUN]], np.int64))
+                    size += len(held[-1])
+                    if at:
+                        edge = np.array([index.at.get(t, 0) for t in tokens[at - WINDOW : at + WINDOW]], np.int64)
+                        total += index.neighbours([edge]) - index.neighbours([edge[:WINDOW], edge[WINDOW:]])
+                    if size >= RUN:
+                        total += index.neighbours(held)
+                        held, size = [], 0
+        if held:
+            total += index.neighbours(held)
+        used = np.flatnonzero(total.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), DIMENSIONS).cast(pa.list_(pa.int64()))], ["token", "sums"])
+
+    rows = docs.select("text").mapInArrow(add, "token long, sums array<long>")
+    found = rows.groupBy("token").agg(F.array(*(F.sum(F.col("sums")[k]) for k in range(DIMENSIONS))).alias("sums")).toArrow()
+    total = np.zeros(index.vectors.shape, np.float32)
+    if found.num_rows:
+        total[found["token"].to_numpy()] = found["sums"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
+    return total
+
+
 class Vectors:
-    def __init__(self, documents: list[list[str]]):
-        counts = Counter(t for d in documents for t in set(d))
-        kept = [t for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1 and t != RARE]
-        self.at = {t: i + 1 for i, t in enumerate(kept)}
-        index = np.array([index_vector(t) for t in [RARE, *kept]])
-        context = np.zeros_like(index)
-        for d in documents:
-            ids = self.ids(d)
-            for step in range(1, WINDOW + 1):
-                if len(ids) > step:
-                    np.add.at(context, ids[step:], index[ids[:-step]])
-                    np.add.at(context, ids[:-step], index[ids[step:]])
-        context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
-        self.table = np.hstack([context, index / np.sqrt(NONZERO)]).astype(np.float32)
+    """Context and index vectors of the vocabulary, side by side."""
+
+    def __init__(self, index: Index, context: np.ndarray):
+        self.at = index.at
+        context = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+        self.table = np.hstack([context, index.vectors / np.sqrt(NONZERO)]).astype(np.float32)
 
     def ids(self, tokens: list[str]) -> np.ndarray:
         at = self.at
@@ -139,12 +206,14 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[Vectors, Network]:
-    """Learn from ``labels`` (doc_id, label 0/1) and the texts they name; about ``most`` rows at the most."""
+    """Word vectors from all texts of ``docs``; the network from about ``most`` rows that ``labels`` (doc_id, label 0/1) name."""
+    tune(docs.sparkSession)
     truth = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    sample = bounded(truth, "doc_id", most)  # so bounded, it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow().to_pylist()
+    index = Index(vocabulary(docs))
+    vectors = Vectors(index, contexts(docs, index))
+    named = docs.select("doc_id", "text").join(small(truth), "doc_id")
+    rows = bounded_texts(named, "doc_id", most, MAX_BYTES).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    vectors = Vectors([tokens_of(r["text"]) for r in rows])
     x = np.array([vectors.pooled(r["text"]) for r in rows]).reshape(len(rows), vectors.table.shape[1])
     return vectors, Network(x, np.array([float(r["label"]) for r in rows]))
 

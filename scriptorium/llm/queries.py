@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_ann": ann.op8_ann,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": license_scan.op10_license_scan,
+        # The columns of op10_license_scan that SQL can say, held against SQL.
+        "license_base_phrases": license_scan.license_base_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_ann": ann.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_ann": ann.ORACLE, "license_base_phrases": license_scan.BASE_ORACLE}

@@ -19,6 +19,18 @@ def bounded(rows: DataFrame, key: str, most: int, salt: int = 1) -> DataFrame:
     return rows if there <= most else rows.where(ticket(key, salt) < int(most / there * _SPACE))
 
 
+def bounded_texts(rows: DataFrame, key: str, most: int, most_bytes: int, salt: int = 1) -> DataFrame:
+    """About ``most`` rows of ``rows`` with about ``most_bytes`` of ``text`` in all, chosen by a hash of ``key``.
+
+    Texts of a hundredth of the bytes and more are not learned from: one of them would outweigh many others.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = rows.where(size <= most_bytes // 100)
+    there, total = rows.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    share = min(1.0, most / max(1, there), most_bytes / max(1, total))
+    return rows if share >= 1 else rows.where(ticket(key, salt) < int(share * _SPACE))
+
+
 def bounded_by_class(rows: DataFrame, key: str, label: str, most: int, salt: int = 1) -> DataFrame:
     """About ``most`` rows of each class; classes are few (languages, labels)."""
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}

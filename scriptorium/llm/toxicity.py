@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, table, tune
-from .sampling import bounded
+from .common import crc32_mod, small, table, tune
+from .sampling import bounded_texts
 
-#: About so many confirmed and unlabelled texts are learned from.
-MAX_POSITIVE, MAX_UNLABELLED = 1500, 5000
+#: About so many confirmed and unlabelled texts, and so many bytes of each, are learned from.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 1500, 5000, 64 << 20
 #: Features: at least so many contexts among positives, so many standard deviations above the unlabelled rate, and so
 #: many times that rate.
 LEAST_CONTEXTS, LEAST_Z, LEAST_LIFT, MAX_FEATURES = 6, 5.0, 2.5, 3000
@@ -153,21 +153,20 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, candidates: DataFrame) -> Model | None:
-    """``labels``: doc_id, label 0/1; ``candidates``: the doc_ids that unlabelled texts may come from.
+    """``labels``: doc_id, label 0/1; ``candidates``: the rows (doc_id, text) that unlabelled texts may come from.
 
     The class prior is the share of toxic ones among the labelled; beyond that only the toxic ones' labels are used.
     """
     truth = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     n, toxic = truth.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     texts = docs.select("doc_id", "text")
-    confirmed = bounded(truth.where("label = 1").select("doc_id"), "doc_id", MAX_POSITIVE)
-    unlabelled = bounded(candidates.select("doc_id").distinct(), "doc_id", MAX_UNLABELLED, salt=2)
+    confirmed = texts.join(small(truth.where("label = 1").select("doc_id")), "doc_id")
 
-    def take(ids: DataFrame) -> list[str | None]:  # the ids are bounded, and so may be broadcast
-        rows = texts.join(F.broadcast(ids), "doc_id").toArrow().to_pylist()
-        return [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    def take(rows: DataFrame, most: int, salt: int) -> list[str | None]:
+        found = bounded_texts(rows, "doc_id", most, MAX_BYTES, salt).toArrow().to_pylist()
+        return [r["text"] for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
-    return train(take(confirmed), take(unlabelled), toxic / n if n else 0.0)
+    return train(take(confirmed, MAX_POSITIVE, 1), take(candidates.select("doc_id", "text").where("doc_id is not null"), MAX_UNLABELLED, 2), toxic / n if n else 0.0)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -187,5 +186,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3)
     labels = table(spark, sf_dir, "labels").where(fold != 1).select("doc_id", F.col("toxic").alias("label"))
-    model = fit(docs, labels, docs.where(fold != 1).select("doc_id"))
+    model = fit(docs, labels, docs.where(fold != 1))
     return score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -247,3 +247,27 @@ def test_suppression_like_brute_force():
             if not any(k.start <= d.start and d.end <= k.end for k in kept):
                 kept.append(d)
         assert sorted(map(repr, license_scan.suppress(found))) == sorted(map(repr, kept))
+
+
+def test_base_columns_like_sql(spark):
+    import duckdb
+
+    texts = ["MIT License and the GNU General Public License", "cc by, CC-BY; cc by-sa", None, "", "apache license apache license", "the gnu general public licenses", "élan mit license " * 3, "x " * 50_000 + "mit\nlicense"]
+    rows = list(enumerate(texts))
+    got = license_scan.base_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, n_words, n_base, first_word, last_word, base_labels FROM ({license_scan.BASE_ORACLE})").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum(x.n_base for x in got) > 8
+
+
+def test_texts_are_not_cut_for_other_patterns():
+    path, pattern = bpe.default_tokenizer()
+    other = bpe.encoder(path, r"[a-z]+ [a-z]+|.")
+    assert not other.cuts_at_blanks and other.decode(other.encode("ab cd ef")) == b"ab cd ef"
+    assert other.encode("ab cd") == bpe.PrefixTable(other.vocabulary, b"ab cd").ids()
+    usual = bpe.encoder(path, pattern)
+    long = "ab" * 5_000 + "c" * 3_000
+    assert usual.decode(usual.encode(long)) == long.encode()

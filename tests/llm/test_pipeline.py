@@ -67,5 +67,5 @@ def test_fragments_of_near_copies_go(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted({int(q[2:].split("_")[0]) for q in queries()}) == list(range(1, 11))
+    assert sorted({int(q[2:].split("_")[0]) for q in queries() if q.startswith("op")}) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())

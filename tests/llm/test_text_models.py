@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,57 @@ def test_toxicity_with_nothing_to_learn(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, label int"), docs)
     assert model is None
     assert [x.score for x in toxicity.score(docs, model).collect()] == [0.0] * 3
+
+
+def test_languages_like_a_plain_version(spark, corpus):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+
+    def plain(text):
+        total = np.zeros(2)
+        words = language_id.words_of(text)
+        for word in words:
+            for n in (0, 4, 3, 2, 1):
+                grams = [word] if n == 0 else [("^" + word + "$" if n > 1 else word)[i : i + n] for i in range(len(word) + (3 if n > 1 else 1) - n)]
+                known = [model.logs[model.tables[n][g]] for g in grams if g in model.tables.get(n, {})]
+                if known:
+                    total += np.mean(known, axis=0)
+                    break
+        chances = np.exp((total - total.max()) / max(1, len(words) ** 0.5))
+        return model.langs[int(total.argmax())], chances.max() / chances.sum()
+
+    got = {x.doc_id: x for x in language_id.identify(docs, model).collect()}
+    for i, text, _ in corpus:
+        lang, score = plain(text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, rel=1e-4)
+
+
+def test_word_vectors_like_a_plain_version(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "b", "C", "c", ",", "dd"]) for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, "", "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(quality, "RUN", 7)
+    monkeypatch.setattr(quality, "COUNTED", 3)
+    tokens = [quality.tokens_of(t) for t in texts]
+    counts = {t: sum(t in d for d in tokens) for d in tokens for t in d}
+    kept = sorted((t for t, n in counts.items() if n > 1), key=lambda t: (-counts[t], t))
+    assert quality.vocabulary(docs) == kept
+    index = quality.Index(kept)
+    want = np.zeros(index.vectors.shape)
+    for d in tokens:
+        ids = [index.at.get(t, 0) for t in d]
+        for i, own in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                want[own] += index.vectors[ids[j]] if j != i else 0
+    assert (quality.contexts(docs, index) == want).all()
+
+
+def test_toxicity_scores_like_a_plain_version(spark):
+    model = toxicity.Model(["bad", "fool$", "foo", "verm"], np.array([1.5, 2.0, -0.5, 3.0]), -1.0)
+    texts = ["bad", "Badly fool", "fool foo food", "vermin VERM", None, "", "nothing here"]
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        has = lambda f: any(w + "$" == f or (w.startswith(f) and len(w) > len(f)) for w in words)  # noqa: B023, E731
+        logit = -1.0 + sum(w for f, w in model.weights.items() if has(f))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-logit)))
