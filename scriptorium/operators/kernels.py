@@ -2,8 +2,42 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+
+_WORD = re.compile("[a-z0-9']+")
+
+
+def ngram_counts(texts: pa.Array) -> list[dict]:
+    """Of each text, by length of its word n-grams (1 to 3): normalised entropy, share of the top one, share of repeats,
+    and the share of bigrams that occur more than once."""
+    out = []
+    for text in texts:
+        words = _WORD.findall((text.as_py() or "").lower())
+        found = {"entropy": {}, "top": {}, "repeated": {}, "more_bigrams": 0.0}
+        for n in (1, 2, 3):
+            counts = np.array(list(Counter(zip(*(words[i:] for i in range(n)), strict=False)).values()), np.float64)
+            total = counts.sum()
+            p = counts / total if total else counts
+            found["entropy"][n] = float(-np.cumsum(p * np.log2(p))[-1] / np.log2(len(p))) if len(p) > 1 else 0.0
+            found["top"][n] = float(p.max()) if len(p) else 0.0
+            found["repeated"][n] = float((counts - 1).sum() / total) if total else 0.0
+            if n == 2 and len(counts):
+                found["more_bigrams"] = float((counts > 1).sum() / len(counts))
+        out.append(found)
+    return out
+
+
+def ngram_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        stats = ngram_counts(batch.column("text"))
+        columns = [[x["entropy"][2] for x in stats], [x["entropy"][3] for x in stats], [x["top"][1] for x in stats], [x["repeated"][2] for x in stats], [x["more_bigrams"] for x in stats]]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", "bigram_entropy", "trigram_entropy", "top_share", "repeated_bigrams", "more_bigrams"])
 
 
 def mmr_order(query: np.ndarray, pool: np.ndarray, k: int, balance: float) -> list[int]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
 from ..sources.tables import table
+from . import kernels
 
 text = "text"
 
@@ -42,27 +44,14 @@ def readability_oscillation(docs: DataFrame, window: int = 5) -> DataFrame:
     return eased.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.round(F.stddev_pop("ease"), 4).alias("oscillation"))
 
 
-def _counts(grams: DataFrame, *keys: str) -> DataFrame:
-    return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
-
-
 def ngram_entropy(docs: DataFrame) -> DataFrame:
-    """Normalised bigram and trigram entropy, repetition, and the blended score."""
-    tokens = docs.select("doc_id", T.words(text).alias("w"))
-    grams = tokens.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("size"), T.ngrams(F.col("w"), n).alias("grams")) for n in (1, 2, 3)))).alias("g"))
-    counted = _counts(grams.select("doc_id", "g.size", F.explode("g.grams").alias("gram")), "doc_id", "size")
-    total = F.sum("n").over(W.Window.partitionBy("doc_id", "size"))
-    shares = counted.withColumn("p", F.col("n") / total)
-    by_size = shares.groupBy("doc_id", "size").agg(
-        (-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count("*").alias("vocabulary"), F.max("p").alias("top"), (F.sum(F.col("n") - 1) / F.sum("n")).alias("repeated")
-    )
-    normal = F.when(F.col("vocabulary") > 1, F.col("h") / F.log2("vocabulary")).otherwise(0.0)
-    pick = lambda size, c: F.coalesce(F.max(F.when(F.col("size") == size, c)), F.lit(0.0))
-    wide = by_size.groupBy("doc_id").agg(pick(2, normal).alias("bigram_entropy"), pick(3, normal).alias("trigram_entropy"), pick(1, F.col("top")).alias("top_share"), pick(2, F.col("repeated")).alias("repeated_bigrams"))
+    """Normalised bigram and trigram entropy, repetition, and the blended score: counted text by text, without a shuffle."""
+    names = ("bigram_entropy", "trigram_entropy", "top_share", "repeated_bigrams")
+    counted = docs.select("doc_id", "text").mapInArrow(kernels.ngram_statistics, "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", more_bigrams double")
     repetition = T.clamp(0.6 * F.col("top_share") + 0.4 * F.col("repeated_bigrams"))
     entropy = (F.col("bigram_entropy") + F.col("trigram_entropy")) / 2
     score = T.clamp(0.7 * T.clamp(1 - entropy) + 0.3 * repetition)
-    return wide.select("doc_id", F.round("bigram_entropy", 6).alias("bigram_entropy"), F.round("trigram_entropy", 6).alias("trigram_entropy"), F.round(repetition, 6).alias("repetition"), F.round(score, 6).alias("score"))
+    return counted.where("top_share > 0").select("doc_id", F.round("bigram_entropy", 6).alias("bigram_entropy"), F.round("trigram_entropy", 6).alias("trigram_entropy"), F.round(repetition, 6).alias("repetition"), F.round(score, 6).alias("score"))
 
 
 def repetition_signals(docs: DataFrame) -> DataFrame:
@@ -101,18 +90,20 @@ def text_quality(docs: DataFrame) -> DataFrame:
 
 def authorship(docs: DataFrame) -> DataFrame:
     """Additive signals of machine-made text: low bigram entropy, repeated phrasing, even sentences, sparse punctuation."""
-    base = docs.select("doc_id", T.words(text).alias("w"), T.sentences(text).alias("s"), T.count(text, "[.,;:!?]").alias("marks"))
+    def counted(frames):
+        for batch in frames:
+            stats = kernels.ngram_counts(batch.column("text"))
+            extra = [pa.array([x["entropy"][2] for x in stats], pa.float64()), pa.array([x["more_bigrams"] for x in stats], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "entropy", "repeated"])
+
+    base = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string, entropy double, repeated double")
     lengths = F.transform("s", lambda x: F.size(T.words(x)).cast("double"))
-    rows = base.select("doc_id", F.size("w").alias("n"), (F.col("marks") / F.greatest(F.size("w"), F.lit(1))).alias("punctuation"), lengths.alias("lengths"), T.ngrams(F.col("w"), 2).alias("bigrams"))
-    # An inner explode would have its size tested below the projection, where the words are worked out for each element.
-    counted = _counts(rows.select("doc_id", F.explode_outer("bigrams").alias("gram")).where("gram is not null"), "doc_id")
-    p = F.col("n") / F.sum("n").over(W.Window.partitionBy("doc_id"))
-    stats = counted.withColumn("p", p).groupBy("doc_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count("*").alias("v"), (F.count_if(F.col("n") > 1) / F.count("*")).alias("repeated"))
-    stats = stats.select(F.col("doc_id").alias("id"), F.when(F.col("v") > 1, F.col("h") / F.log2("v")).otherwise(0.0).alias("entropy"), "repeated")
+    rows = base.select("doc_id", "entropy", "repeated", T.words(text).alias("w"), T.sentences(text).alias("s"), T.count(text, "[.,;:!?]").alias("marks"))
+    rows = rows.select("doc_id", "entropy", "repeated", (F.col("marks") / F.greatest(F.size("w"), F.lit(1))).alias("punctuation"), lengths.alias("lengths"))
     k, first, second = F.size("lengths"), T.total(F.col("lengths"), lambda x: x), T.total(F.col("lengths"), lambda x: x * x)
     deviation = F.sqrt(F.greatest(F.lit(0.0), second - first * first / k) / (k - 1))
     cv = F.when((k > 1) & (first != 0), deviation / (first / k)).otherwise(0.0)
-    joined = rows.join(stats, rows["doc_id"] == stats["id"], "left").withColumns({"entropy": F.coalesce("entropy", F.lit(0.0)), "repeated": F.coalesce("repeated", F.lit(0.0)), "cv": cv, "k": k})
+    joined = rows.withColumns({"cv": cv, "k": k})
     score = T.clamp(
         F.when(F.col("entropy") < 0.55, (0.55 - F.col("entropy")) * 0.8).otherwise(0.0)
         + F.when(F.col("repeated") > 0.25, F.least(F.lit(0.4), F.col("repeated"))).otherwise(0.0)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
 from ..sources.tables import table
-from . import kernels
+from . import kernels, search
 
 text = "text"
 
@@ -28,9 +27,10 @@ def _top(df: DataFrame, by: str, k: int, *order) -> DataFrame:
 
 def cosine_topk(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
     """The ``k`` nearest by cosine of each vector whose id is divisible by ``every``: the stated queries."""
-    q = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 5).alias("score"))
-    return _top(scored, "query_id", k, F.desc("score"), "vec_id").select("query_id", "rank", "vec_id", "score")
+    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = search.nearest_vectors(rows, queries, k, 5).withColumn("score", F.round("score", 5))
+    return _top(found, "query_id", k, F.desc("score"), "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
 def similar_bundles(vectors: DataFrame, least: float = 0.6, k: int = 2, every: int = 100) -> DataFrame:
@@ -63,27 +63,16 @@ def tfidf_top_terms(docs: DataFrame, k: int = 5) -> DataFrame:
     return _top(scored, "doc_id", k, F.desc("weight"), "term").select("doc_id", "rank", "term", "weight")
 
 
-def bm25(docs: DataFrame, benchmark: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Top documents of each benchmark item: rank, score."""
-    counts = _term_counts(docs)
-    sizes = counts.groupBy("doc_id").agg(F.sum("tf").alias("size"))
-    stats = sizes.agg(F.count("*").alias("total"), F.avg("size").alias("mean"))
-    asked = benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)))).alias("term"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    hits = counts.join(asked, "term").join(df, "term").join(sizes, "doc_id").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 5).alias("score"))
-    return _top(scored, "item_id", k, F.desc("score"), "doc_id").select("item_id", "rank", "doc_id", "score")
+def bm25(docs: DataFrame, benchmark: DataFrame, k: int = 5) -> DataFrame:
+    """Top documents of each benchmark item: rank, score (k1 1.5, b 0.75)."""
+    found = search.top_documents(docs, benchmark, "[a-z0-9]{2,}", k, 5, bm25=True).withColumn("score", F.round("score", 5))
+    return _top(found, "item_id", k, F.desc("score"), "doc_id").select("item_id", "rank", "doc_id", "score")
 
 
 def keyword_f1(docs: DataFrame, benchmark: DataFrame, k: int = 5) -> DataFrame:
-    """Set F1 of words of three and more characters; candidates meet on a shared word."""
-    words = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("word"))
-    d, q = words(docs, "doc_id"), words(benchmark, "item_id").withColumnRenamed("n", "m")
-    common = d.join(q, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    scored = common.select("item_id", "doc_id", F.round(2 * F.col("c") / (F.col("n") + F.col("m")), 6).alias("f1"))
-    return _top(scored, "item_id", k, F.desc("f1"), "doc_id").select("item_id", "rank", "doc_id", "f1")
+    """Set F1 of words of three and more characters."""
+    found = search.top_documents(docs, benchmark, "[a-z0-9]{3,}", k, 6, bm25=False).select("item_id", "doc_id", F.round("score", 6).alias("f1"))
+    return _top(found, "item_id", k, F.desc("f1"), "doc_id").select("item_id", "rank", "doc_id", "f1")
 
 
 def minmax(column: str, by: str) -> Column:
