@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import small, table
 from . import dedupe
+from .ordering import placed
 
 #: Fixed value: what counts as an entity here, a longer capitalised ASCII word.
 ENTITY = "[A-Z][a-z]{6,}"
@@ -40,37 +41,49 @@ def overlaps(docs: DataFrame, least: float = 0.15) -> DataFrame:
 def shared_and_different(docs: DataFrame) -> DataFrame:
     """Of each two consecutive documents of a source: identifiers both have, and those only one has."""
     ids = docs.select("doc_id", "source", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{2,}"), F.lit(0))).alias("ids"))
-    before = F.lag("ids").over(W.Window.partitionBy("source").orderBy("doc_id"))
-    rows = ids.withColumn("before", before).where("before is not null")
+    places = placed(ids, ["source"], ["doc_id"]).select("doc_id", "source", "ids", "place")
+    earlier = places.select("source", (F.col("place") + 1).alias("place"), F.col("ids").alias("before"))
+    rows = places.join(earlier, ["source", "place"])
     different = F.sort_array(F.concat(F.array_except("ids", "before"), F.array_except("before", "ids")))
     return rows.select("doc_id", F.array_join(F.sort_array(F.array_intersect("ids", "before")), ",").alias("shared"), F.array_join(different, ",").alias("different"))
 
 
-def neighbours(docs: DataFrame, window: int = 1) -> DataFrame:
-    """Each document expanded by the documents beside it in its source, at a slightly lower score."""
-    placed = docs.select("doc_id", "source", F.row_number().over(W.Window.partitionBy("source").orderBy("doc_id")).alias("pos"))
-    seeds = placed.select(F.col("doc_id").alias("seed_id"), "source", F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos"))
-    near = seeds.join(placed, ["source", "pos"]).where("doc_id <> seed_id")
-    return near.select("seed_id", "doc_id", F.round(F.greatest(F.lit(0.0), 0.9 - 0.05 * F.lit(1.0)), 2).alias("score"))
+def neighbours(docs: DataFrame, seeds: DataFrame, window: int = 1) -> DataFrame:
+    """Each seed (doc_id, score) expanded by the documents beside it in its source, at a score 0.05 lower for each step away."""
+    places = placed(docs.select("doc_id", "source"), ["source"], ["doc_id"]).select("doc_id", "source", F.col("place").alias("pos"))
+    near = places.join(seeds.select("doc_id", "score"), "doc_id").select(F.col("doc_id").alias("seed_id"), "source", "score", F.col("pos").alias("at"), F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("pos"))
+    found = near.join(places, ["source", "pos"]).where("doc_id <> seed_id")
+    return found.select("seed_id", "doc_id", F.round(F.greatest(F.lit(0.0), F.col("score") - 0.05 * F.abs(F.col("pos") - F.col("at"))), 6).alias("score"))
 
 
 def grounding(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each benchmark item and the best document: share of its words, and of its word triples, that the document holds."""
+    """For each benchmark item and the best document: share of its words, and of its word triples, that the document holds.
+
+    Documents' triples are held against the hashes of the benchmark's first, so that only shared ones are shuffled.
+    """
     q = benchmark.select("item_id", T.words(F.col("text")).alias("w"))
     q = q.select("item_id", F.array_distinct("w").alias("words"), F.array_distinct(T.ngrams(F.col("w"), 3)).alias("triples"))
     d = docs.select("doc_id", T.words(F.col("text")).alias("w"))
-    d3 = d.select("doc_id", F.explode_outer(T.ngrams(F.col("w"), 3)).alias("g")).where("g is not null").distinct()
-    hits = q.select("item_id", F.size("triples").alias("n"), F.explode("triples").alias("g")).join(d3, "g").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("triples"))
+    asked = q.select("item_id", F.size("triples").alias("n"), F.explode("triples").alias("g"))
+    hits = asked.join(_shared_grams(docs, asked.select("g").distinct(), 3), "g").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("triples"))
     best = hits.withColumn("r", F.row_number().over(W.Window.partitionBy("item_id").orderBy(F.desc("triples"), "doc_id"))).where("r = 1")
     scored = best.join(q.select("item_id", "words"), "item_id").join(d, "doc_id")
     contained = F.size(F.array_intersect("words", F.array_distinct("w"))) / F.size("words")
     return scored.select("item_id", "doc_id", F.round("triples", 6).alias("ngram_overlap"), F.round(contained, 6).alias("containment"), (contained >= 0.4).alias("grounded"))
 
 
+def _shared_grams(docs: DataFrame, grams: DataFrame, n: int) -> DataFrame:
+    """doc_id, g: the distinct word n-grams of the documents that are among ``grams`` (column g)."""
+    words = docs.select("doc_id", T.words(F.col("text")).alias("w"))
+    found = words.select("doc_id", F.explode_outer(T.ngrams(F.col("w"), n)).alias("g")).where("g is not null")
+    return found.join(small(grams), "g", "left_semi").distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8) -> DataFrame:
     """Documents that share word ``n``-grams with benchmark items, and how many."""
-    grams = lambda df, key: df.select(key, T.words(F.col("text")).alias("w")).select(key, F.explode_outer(T.ngrams(F.col("w"), n)).alias("g")).where("g is not null").select(key, F.xxhash64("g").alias("h"), "g").distinct()
-    return grams(docs, "doc_id").join(grams(benchmark, "item_id"), ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    words = benchmark.select("item_id", T.words(F.col("text")).alias("w"))
+    asked = words.select("item_id", F.explode_outer(T.ngrams(F.col("w"), n)).alias("g")).where("g is not null").distinct()
+    return _shared_grams(docs, asked.select("g").distinct(), n).join(small(asked), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def numeric_fidelity(docs: DataFrame) -> DataFrame:
@@ -168,9 +181,10 @@ def queries() -> dict[str, tuple]:
             SELECT doc_id, array_to_string(list_sort(list_intersect(ids, before)), ',') AS shared, array_to_string(list_sort(list_concat(list_filter(ids, lambda x: NOT list_contains(before, x)), list_filter(before, lambda x: NOT list_contains(ids, x)))), ',') AS different FROM b WHERE before IS NOT NULL""",
         ),
         "neighbor_expand": (
-            on("documents", neighbours),
+            lambda spark, d: neighbours(table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", (0.5 + 0.4 * F.col("quality")).alias("score")), 2),
             """WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents)
-            SELECT s.doc_id AS seed_id, n.doc_id, 0.85::DOUBLE AS score FROM p s JOIN p n ON s.source = n.source AND abs(s.pos - n.pos) = 1""",
+            SELECT s.doc_id AS seed_id, n.doc_id, round(greatest(0, 0.5::DOUBLE + 0.4::DOUBLE * quality - 0.05::DOUBLE * abs(s.pos - n.pos)), 6) AS score
+            FROM p s JOIN labels l ON l.doc_id = s.doc_id JOIN p n ON s.source = n.source AND abs(s.pos - n.pos) BETWEEN 1 AND 2""",
         ),
         "grounding_containment": (
             two(grounding),

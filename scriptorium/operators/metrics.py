@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..sources.tables import table
+from .ordering import placed
 
 #: Upper edges of the value histogram.
 EDGES = (50, 100, 250, 500, 1000, 2000, 5000, 10000)
@@ -64,9 +65,9 @@ def percentiles(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.stddev_samp("value"), 6).alias("deviation"))
 
 
-def _sorted_places(events: DataFrame, by: str = "event_type") -> DataFrame:
-    w = W.Window.partitionBy(by)
-    return events.where("value is not null").withColumns({"place": F.row_number().over(w.orderBy("value", "event_id")) - 1, "n": F.count("*").over(w)})
+def _sorted_places(events: DataFrame) -> DataFrame:
+    rows = placed(events.select("event_id", "event_type", "value").where("value is not null"), ["event_type"], ["value", "event_id"])
+    return rows.select("event_id", "event_type", "value", (F.col("place") - 1).alias("place"), F.col("group_rows").alias("n"))
 
 
 def nearest_rank(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import small, table
 from . import kernels, search
 
 text = "text"
@@ -100,27 +100,33 @@ def rrf(lists: list[DataFrame], key: str, by: str, k: int = 60, top: int = 20, w
     return _top(fused, by, top, F.desc("score"), key).select(by, "rank", key, "score", "lists")
 
 
-def adaptive_filter(docs: DataFrame, least: float = 0.3, floor: int = 6) -> DataFrame:
-    """Per source: rows at or above ``least``, or the best ``floor`` if there are fewer of those."""
-    score = F.round(F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100, 4)
-    w = W.Window.partitionBy("source")
-    rows = docs.select("doc_id", "source", score.alias("score")).withColumns({"good": F.count_if(F.col("score") >= least).over(w), "rank": F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))})
-    return rows.where(F.when(F.col("good") >= floor, F.col("score") >= least).otherwise(F.col("rank") <= floor)).select("doc_id", "source", "score", "rank")
+def candidates(docs: DataFrame, benchmark: DataFrame, k: int = 20) -> DataFrame:
+    """The best documents of each item with their source, language, and BM25 score scaled to 0 ... 1 within the item."""
+    ranked = bm25(docs, benchmark, k).withColumn("score", F.round(minmax("score", "item_id"), 4))
+    return ranked.select("item_id", "doc_id", "score").join(docs.select("doc_id", "source", "lang"), "doc_id")
 
 
-def diversity(docs: DataFrame, penalty: float = 0.15) -> DataFrame:
+def adaptive_filter(rows: DataFrame, by: str, key: str = "doc_id", score: str = "score", least: float = 0.3, floor: int = 6) -> DataFrame:
+    """Of each group: rows at or above ``least``, or the best ``floor`` if there are fewer of those."""
+    good = rows.groupBy(by).agg(F.count_if(F.col(score) >= least).alias("good"))
+    ranked = rows.join(small(good), by)
+    enough = ranked.where((F.col("good") >= floor) & (F.col(score) >= least))
+    few = _top(ranked.where(F.col("good") < floor), by, floor, F.desc(score), key).drop("rank")
+    return enough.unionByName(few).select(*rows.columns)
+
+
+def diversity(rows: DataFrame, section: list[str], key: str = "doc_id", score: str = "score", penalty: float = 0.15) -> DataFrame:
     """Every further row of a section already seen loses a share of its score; the order stays."""
-    score = F.round(F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100, 4)
-    seen = F.row_number().over(W.Window.partitionBy("source", "lang").orderBy(F.desc("score"), "doc_id"))
-    return docs.select("doc_id", "source", "lang", score.alias("score")).withColumn("seen", seen).select("doc_id", F.round(F.when(F.col("seen") > 1, F.col("score") * (1 - penalty)).otherwise(F.col("score")), 6).alias("score"))
+    first = rows.groupBy(*section).agg(F.max_by(key, F.struct(score, -F.col(key))).alias("_first"))
+    marked = rows.join(first, section)
+    return marked.withColumn(score, F.round(F.when(F.col(key) == F.col("_first"), F.col(score)).otherwise(F.col(score) * (1 - penalty)), 6)).select(*rows.columns)
 
 
-def confidence(docs: DataFrame) -> DataFrame:
+def confidence(rows: DataFrame, by: str, source: str = "source", key: str = "doc_id", score: str = "score") -> DataFrame:
     """Half the best score, a quarter of its lead over the mean of the best five, a quarter of source coverage."""
-    score = F.round(F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100, 4)
-    ranked = _top(docs.select("doc_id", "source", "lang", score.alias("score")), "lang", 5, F.desc("score"), "doc_id")
-    agg = ranked.groupBy("lang").agg(F.max("score").alias("best"), F.avg("score").alias("mean"), F.countDistinct("source").alias("sources"))
-    return agg.select("lang", F.round(T.clamp(0.5 * F.col("best") + 0.25 * (F.col("best") - F.col("mean")) + 0.25 * F.least(F.lit(1.0), F.col("sources") / 5)), 4).alias("confidence"))
+    ranked = _top(rows, by, 5, F.desc(score), key)
+    agg = ranked.groupBy(by).agg(F.max(score).alias("best"), F.avg(score).alias("mean"), F.countDistinct(source).alias("sources"))
+    return agg.select(by, F.round(T.clamp(0.5 * F.col("best") + 0.25 * (F.col("best") - F.col("mean")) + 0.25 * F.least(F.lit(1.0), F.col("sources") / 5)), 4).alias("confidence"))
 
 
 def mrr(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -146,22 +152,34 @@ def hashed_vectors(docs: DataFrame, width: int = 64) -> DataFrame:
 
 
 
+def bm25_sql() -> str:
+    """SQL of ``bm``: item_id, rank, doc_id and score of every document that shares a term."""
+    terms = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)"
+    return f"""{terms}, z AS (SELECT doc_id, sum(tf) AS size FROM c GROUP BY 1), st AS (SELECT count(*) AS total, avg(size) AS mean FROM z),
+        a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS term FROM benchmark),
+        bs AS (SELECT item_id, doc_id, round(sum(ln(1 + (total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 5) AS score
+               FROM c JOIN a USING (term) JOIN f USING (term) JOIN z USING (doc_id), st GROUP BY 1, 2),
+        bm AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM bs)"""
+
+
+def candidates_sql(bm: str) -> str:
+    """SQL of ``cd``: what ``candidates`` gives."""
+    scaled = "CASE WHEN max(b.score) OVER w = min(b.score) OVER w THEN 1.0::DOUBLE ELSE (b.score - min(b.score) OVER w) / (max(b.score) OVER w - min(b.score) OVER w) END"
+    return f"{bm}, cd AS (SELECT b.item_id, b.doc_id, d.source, d.lang, round({scaled}, 4) AS score FROM (SELECT * FROM bm WHERE rank <= 20) b JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY b.item_id))"
+
+
 def queries() -> dict[str, tuple]:
     on = lambda name, f: lambda spark, d: f(table(spark, d, name))
     two = lambda f: lambda spark, d: f(table(spark, d, "documents"), table(spark, d, "benchmark"))
     cos = "round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 5)"
     nearest = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, {cos} AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)"
     terms = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)"
-    bm = f"""{terms}, z AS (SELECT doc_id, sum(tf) AS size FROM c GROUP BY 1), st AS (SELECT count(*) AS total, avg(size) AS mean FROM z),
-        a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS term FROM benchmark),
-        bs AS (SELECT item_id, doc_id, round(sum(ln(1 + (total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 5) AS score
-               FROM c JOIN a USING (term) JOIN f USING (term) JOIN z USING (doc_id), st GROUP BY 1, 2),
-        bm AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM bs)"""
+    bm = bm25_sql()
     f1 = """dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents), qw AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark),
         de AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM dw), qe AS (SELECT item_id, len(w) AS m, unnest(w) AS x FROM qw),
         fs AS (SELECT item_id, doc_id, round(2.0::DOUBLE * count(*) / (any_value(n) + any_value(m)), 6) AS f1 FROM de JOIN qe USING (x) GROUP BY 1, 2),
         ff AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY f1 DESC, doc_id)::INT AS rank, doc_id, f1 FROM fs)"""
-    score = "SELECT doc_id, source, lang, round((doc_id * 37 % 101) / 100.0::DOUBLE, 4) AS score FROM documents"
+    ranked = lambda f: two(lambda d, b: f(candidates(d, b)))
     return {
         "cosine_topk": (on("embeddings", cosine_topk), f"WITH {nearest} SELECT * FROM r WHERE rank <= 5"),
         "knn_min_sim": (on("embeddings", similar_bundles), f"WITH {nearest} SELECT * FROM r WHERE rank <= 2 AND score >= 0.6"),
@@ -191,9 +209,9 @@ def queries() -> dict[str, tuple]:
             g AS (SELECT item_id, doc_id, round(sum(part), 8) AS score, count(*) AS lists FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM g)
             SELECT item_id, rank, doc_id, score, lists FROM r WHERE rank <= 20""",
         ),
-        "adaptive_score_filter": (on("documents", adaptive_filter), f"WITH s AS ({score}), w AS (SELECT *, count(*) FILTER (WHERE score >= 0.3) OVER (PARTITION BY source) AS good, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT doc_id, source, score, rank FROM w WHERE CASE WHEN good >= 6 THEN score >= 0.3 ELSE rank <= 6 END"),
-        "section_diversity": (on("documents", diversity), f"WITH s AS ({score}), w AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS seen FROM s) SELECT doc_id, round(CASE WHEN seen > 1 THEN score * 0.85::DOUBLE ELSE score END, 6) AS score FROM w"),
-        "retrieval_confidence": (on("documents", confidence), f"WITH s AS ({score}), w AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS r FROM s) SELECT lang, round(greatest(0, least(1, 0.5::DOUBLE * max(score) + 0.25::DOUBLE * (max(score) - avg(score)) + 0.25::DOUBLE * least(1, count(DISTINCT source) / 5))), 4) AS confidence FROM w WHERE r <= 5 GROUP BY 1"),
+        "adaptive_score_filter": (ranked(lambda r: adaptive_filter(r, "item_id").select("item_id", "doc_id", "score")), f"WITH {candidates_sql(bm)}, w AS (SELECT *, count(*) FILTER (WHERE score >= 0.3) OVER (PARTITION BY item_id) AS good, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM cd) SELECT item_id, doc_id, score FROM w WHERE CASE WHEN good >= 6 THEN score >= 0.3 ELSE rank <= 6 END"),
+        "section_diversity": (ranked(lambda r: diversity(r, ["item_id", "source"]).select("item_id", "doc_id", "score")), f"WITH {candidates_sql(bm)}, w AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS seen FROM cd) SELECT item_id, doc_id, round(CASE WHEN seen > 1 THEN score * 0.85::DOUBLE ELSE score END, 6) AS score FROM w"),
+        "retrieval_confidence": (ranked(lambda r: confidence(r, "item_id")), f"WITH {candidates_sql(bm)}, w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM cd) SELECT item_id, round(greatest(0, least(1, 0.5::DOUBLE * max(score) + 0.25::DOUBLE * (max(score) - avg(score)) + 0.25::DOUBLE * least(1, count(DISTINCT source) / 5))), 4) AS confidence FROM w WHERE r <= 5 GROUP BY 1"),
         "mrr": (
             two(mrr),
             f"""WITH {bm}, j AS (SELECT h.item_id, min(rank) FILTER (WHERE contains(d.text, substr(q.text, 1, 40))) AS first FROM bm h JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = h.item_id WHERE rank <= 10 GROUP BY 1)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
-from ..sources.tables import durable, table
-from . import dedupe
+from ..sources.tables import durable, small, table
+from . import dedupe, retrieval
+from .ordering import placed
 
 # Word lists and rules.
 STOPWORDS = ("the", "and", "for", "that", "with", "this", "from", "are", "was", "have", "not", "der", "die", "das", "und", "que", "les", "des", "los", "las", "por")
@@ -49,25 +50,24 @@ def greedy_jaccard(docs: DataFrame, least: float = 0.85) -> DataFrame:
     return greedy_kept(pairs, firsts).select(F.col("id").alias("doc_id"))
 
 
-def quality_tiers(docs: DataFrame) -> DataFrame:
-    """Per language: only the high-scored rows if there are at least eight; else high and medium ones; else the best three."""
-    score = F.round(F.pmod(F.col("doc_id") * 53, F.lit(97)) / 97, 4)
-    w = W.Window.partitionBy("lang", "source")
-    rows = docs.select("doc_id", "lang", "source", score.alias("score")).withColumns({"high": F.count_if(F.col("score") >= 0.7).over(w), "medium": F.count_if(F.col("score") >= 0.3).over(w), "rank": F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))})
-    keep = F.when(F.col("high") >= 8, F.col("score") >= 0.7).when(F.col("medium") > 0, F.col("score") >= 0.3).otherwise(F.col("rank") <= 3)
-    return rows.where(keep).select("doc_id", "lang", "source", "score")
+def quality_tiers(rows: DataFrame, by: str, key: str = "doc_id", score: str = "score") -> DataFrame:
+    """Of each group only the high-scored rows (0.7) if there are at least eight; else high and medium ones (0.3); else the best three."""
+    counts = rows.groupBy(by).agg(F.count_if(F.col(score) >= 0.7).alias("high"), F.count_if(F.col(score) >= 0.3).alias("medium"))
+    least = F.when(F.col("high") >= 8, 0.7).when(F.col("medium") > 0, 0.3)
+    joined = rows.join(small(counts.select(by, least.alias("least"))), by)
+    best = joined.where("least is null").withColumn("r", F.row_number().over(W.Window.partitionBy(by).orderBy(F.desc(score), key))).where("r <= 3")
+    return joined.where(F.col(score) >= F.col("least")).select(*rows.columns).unionByName(best.select(*rows.columns))
 
 
-def domain_gate(docs: DataFrame, wanted: str = "en") -> DataFrame:
-    """Of each source: if three of its best five rows are of another language, rows of the wanted one stay where there are
-    six of them, else the others' scores fall to 60 %."""
-    score = F.round(F.pmod(F.col("doc_id") * 53, F.lit(97)) / 97, 4)
-    w = W.Window.partitionBy("source")
-    rows = docs.select("doc_id", "source", (F.col("lang") == wanted).alias("fits"), score.alias("score")).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_id")))
-    rows = rows.withColumns({"off": F.count_if((F.col("rank") <= 5) & ~F.col("fits")).over(w), "n_fit": F.count_if("fits").over(w)})
-    gated, enough = F.col("off") >= 3, F.col("n_fit") >= 6
-    kept = rows.where(~gated | ~enough | F.col("fits"))
-    return kept.select("doc_id", "source", F.round(F.when(gated & ~enough & ~F.col("fits"), F.col("score") * 0.6).otherwise(F.col("score")), 6).alias("score"))
+def domain_gate(rows: DataFrame, by: str, fits: str, key: str = "doc_id", score: str = "score") -> DataFrame:
+    """Of each group: if three of its best five rows do not fit the domain, rows that fit stay where there are six of them,
+    else the others' scores fall to 60 %."""
+    best = rows.withColumn("r", F.row_number().over(W.Window.partitionBy(by).orderBy(F.desc(score), key))).where("r <= 5")
+    gated = best.groupBy(by).agg(F.count_if(~F.col(fits)).alias("off")).join(rows.groupBy(by).agg(F.count_if(fits).alias("n_fit")), by)
+    gate = F.when(F.col("off") < 3, "open").when(F.col("n_fit") >= 6, "fits only").otherwise("lower")
+    joined = rows.join(small(gated.select(by, gate.alias("gate"))), by)
+    kept = joined.where((F.col("gate") != "fits only") | F.col(fits))
+    return kept.select(key, by, F.round(F.when((F.col("gate") == "lower") & ~F.col(fits), F.col(score) * 0.6).otherwise(F.col(score)), 6).alias("score"))
 
 
 def key_terms(docs: DataFrame, k: int = 8) -> DataFrame:
@@ -140,8 +140,7 @@ def line_type_entropy(docs: DataFrame) -> DataFrame:
 
 def bundles(docs: DataFrame, size: int = 6, step: int = 5, least: int = 3) -> DataFrame:
     """Windows of ``size`` rows of a source stepping by ``step``; shorter than ``least`` are left out."""
-    pos = F.row_number().over(W.Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = docs.select("doc_id", "source", pos.alias("pos"))
+    rows = placed(docs.select("doc_id", "source"), ["source"], ["doc_id"]).select("doc_id", "source", (F.col("place") - 1).alias("pos"))
     last = F.floor(F.col("pos") / step)
     starts = F.filter(F.array(last - 1, last), lambda b: (b >= 0) & (F.col("pos") < b * step + size))
     return rows.select("doc_id", "source", F.explode(starts).alias("bundle")).groupBy("source", "bundle").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where(F.col("n") >= least)
@@ -182,14 +181,19 @@ def queries() -> dict[str, tuple]:
     score = "round((doc_id * 53 % 97) / 97.0::DOUBLE, 4)"
     policy = "r(rule_id, kind, phrase, severity) AS (VALUES " + ", ".join(map(str, POLICY)) + "), f AS (SELECT doc_id, rule_id, kind, severity FROM documents, r WHERE CASE WHEN kind = 'forbidden' THEN contains(lower(text), phrase) ELSE NOT contains(lower(text), phrase) END)"
     sents = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+    ranked = lambda f: lambda spark, d: f(retrieval.candidates(table(spark, d, "documents"), table(spark, d, "benchmark")))
+    cd = retrieval.candidates_sql(retrieval.bm25_sql())
     return {
         "greedy_dedupe_jaccard": (on("documents", greedy_jaccard), None),
-        "quality_tiers": (on("documents", quality_tiers), f"WITH s AS (SELECT doc_id, lang, source, {score} AS score FROM documents), w AS (SELECT *, count(*) FILTER (WHERE score >= 0.7) OVER p AS high, count(*) FILTER (WHERE score >= 0.3) OVER p AS medium, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS r FROM s WINDOW p AS (PARTITION BY lang, source)) SELECT doc_id, lang, source, score FROM w WHERE CASE WHEN high >= 8 THEN score >= 0.7 WHEN medium > 0 THEN score >= 0.3 ELSE r <= 3 END"),
+        "quality_tiers": (
+            ranked(lambda r: quality_tiers(r, "item_id").select("item_id", "doc_id", "score")),
+            f"WITH {cd}, w AS (SELECT *, count(*) FILTER (WHERE score >= 0.7) OVER p AS high, count(*) FILTER (WHERE score >= 0.3) OVER p AS medium, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM cd WINDOW p AS (PARTITION BY item_id)) SELECT item_id, doc_id, score FROM w WHERE CASE WHEN high >= 8 THEN score >= 0.7 WHEN medium > 0 THEN score >= 0.3 ELSE r <= 3 END",
+        ),
         "domain_gate": (
-            on("documents", domain_gate),
-            f"""WITH s AS (SELECT doc_id, source, lang = 'en' AS fits, {score} AS score FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM s),
-            g AS (SELECT *, count(*) FILTER (WHERE r <= 5 AND NOT fits) OVER (PARTITION BY source) >= 3 AS gated, count(*) FILTER (WHERE fits) OVER (PARTITION BY source) >= 6 AS enough FROM k)
-            SELECT doc_id, source, round(CASE WHEN gated AND NOT enough AND NOT fits THEN score * 0.6::DOUBLE ELSE score END, 6) AS score FROM g WHERE NOT gated OR NOT enough OR fits""",
+            ranked(lambda r: domain_gate(r.withColumn("fits", F.col("lang") == "en"), "item_id", "fits")),
+            f"""WITH {cd}, s AS (SELECT *, lang = 'en' AS fits FROM cd), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s),
+            g AS (SELECT *, count(*) FILTER (WHERE r <= 5 AND NOT fits) OVER (PARTITION BY item_id) >= 3 AS gated, count(*) FILTER (WHERE fits) OVER (PARTITION BY item_id) >= 6 AS enough FROM k)
+            SELECT doc_id, item_id, round(CASE WHEN gated AND NOT enough AND NOT fits THEN score * 0.6::DOUBLE ELSE score END, 6) AS score FROM g WHERE NOT gated OR NOT enough OR fits""",
         ),
         "key_terms": (
             on("documents", key_terms),
