@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "metrics", "screening", "dedupe", "retrieval", "structure", "linking", "rules", "sequential")
+MODULES = ("quality", "metrics", "screening", "dedupe", "retrieval", "structure", "linking", "rules", "sequential", "graph", "ranking", "evidence")
 
 
 def _all() -> dict[str, tuple]:
