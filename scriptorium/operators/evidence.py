@@ -69,7 +69,7 @@ def table_integrity(docs: DataFrame) -> DataFrame:
 def table_headers(docs: DataFrame) -> DataFrame:
     """Whether the first row is a header: 80 % of its filled cells are text, or 60 % and the other rows are more numeric."""
     number = lambda c: F.rlike(c, F.lit(r"^[$€£]?-?[\d,]+\.?\d*%?$"))
-    rows = bar_tables(docs).select("doc_id", "rows", F.filter(F.col("rows")[0], lambda c: c != "").alias("head"), F.filter(F.flatten(F.slice("rows", 2, F.size("rows"))), lambda c: c != "").alias("rest"))
+    rows = bar_tables(docs).select("doc_id", "rows", F.filter(F.get("rows", F.lit(0)), lambda c: c != "").alias("head"), F.filter(F.flatten(F.slice("rows", 2, F.size("rows"))), lambda c: c != "").alias("rest"))
     share = lambda cells: F.when(F.size(cells) > 0, F.size(F.filter(cells, number)) / F.size(cells)).otherwise(0.0)
     shares = rows.select("doc_id", F.size("rows").alias("lines"), F.array_max(F.transform("rows", F.size)).alias("columns"), F.size("head").alias("filled"), share(F.col("head")).alias("in_head"), share(F.col("rest")).alias("in_rest"))
     header = (F.col("filled") > 0) & ((1 - F.col("in_head") >= 0.8) | ((1 - F.col("in_head") >= 0.6) & (F.col("in_rest") > F.col("in_head"))))
@@ -79,7 +79,7 @@ def table_headers(docs: DataFrame) -> DataFrame:
 def table_rows(docs: DataFrame) -> DataFrame:
     """One row for each data row of a table with a header: a chunk ``header: cell; ...``; missing cells are empty."""
     headed = table_headers(docs).where("header").select("doc_id")
-    rows = bar_tables(docs).join(headed, "doc_id", "left_semi").select("doc_id", F.col("rows")[0].alias("head"), F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("row", "cells"))
+    rows = bar_tables(docs).join(headed, "doc_id", "left_semi").select("doc_id", F.get("rows", F.lit(0)).alias("head"), F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("row", "cells"))
     pairs = F.transform(F.col("head"), lambda h, i: F.concat(h, F.lit(": "), F.coalesce(F.get(F.col("cells"), i), F.lit(""))))
     return rows.select("doc_id", "row", F.size("cells").alias("width"), F.md5(F.array_join(pairs, "; ")).alias("chunk_md5"))
 
