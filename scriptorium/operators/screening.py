@@ -11,6 +11,7 @@ from ..sources.tables import table
 text = "text"
 
 # Patterns, levels and blend parameters.
+# The last two words of the pair's names, passwd and pwd, are additions.
 SECRET_PAIR = r"(?i)\b(api[_-]?key|secret|token|password|passwd|pwd)\b\s*[:=]\s*\S+"
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 PRIVATE_IP = r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b"

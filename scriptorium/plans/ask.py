@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators import structure
 
-# Words that ask for a count, a sum, a mean or a listing, and languages by name.
-INTENTS = (("count", r"\bhow many\b|\bnumber of\b|\bcount\b"), ("total", r"\btotal\b|\bsum\b"), ("average", r"\baverage\b|\bmean\b"), ("list", r"\b(?:list|show|enumerate)\s+(?:all|every)\b"))
+#: What a question asks for: an intent is known by any of its phrases, a run of whole words; the first intent that fits counts.
+PHRASES = {
+    "count": ("how many", "number of", "count"),
+    "total": ("total", "sum of", "sum"),
+    "average": ("average", "mean"),
+    "list": ("list all", "list every", "show all", "show every"),
+}
 LANGUAGES = {"english": "en", "german": "de", "french": "fr", "spanish": "es"}
 COMPARISONS = (("more than", ">"), ("over", ">"), ("at least", ">="), ("less than", "<"), ("under", "<"), ("at most", "<="))
 
@@ -27,7 +32,8 @@ class Question:
 
 def parse(query: str) -> Question:
     low = query.lower()
-    intent = next((name for name, pattern in INTENTS if re.search(pattern, low)), None)
+    words = f" {' '.join(re.findall('[a-z0-9]+', low))} "
+    intent = next((name for name, phrases in PHRASES.items() if any(f" {p} " in words for p in phrases)), None)
     language = next((code for name, code in LANGUAGES.items() if name in low), None)
     top = re.search(r"\btop\s+(\d+)", low)
     comparisons = [(sign, float(n)) for words, sign in COMPARISONS for n in re.findall(rf"\b{words}\s+(\d+(?:\.\d+)?)", low)]

@@ -38,10 +38,16 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "2 hours") -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def recent_repeats(turns: DataFrame, last: int = 8) -> DataFrame:
-    """Marks texts whose hash is among the ``last`` ones of the same conversation (columns conv_id, turn, text)."""
+def recent_repeats(turns: DataFrame, last: int = 8, idle: str | None = None) -> DataFrame:
+    """Marks texts whose hash is among the ``last`` ones of the same conversation (columns conv_id, turn, text).
+
+    With ``idle`` (like "1 hour") the state of a conversation that has been still for so long is dropped.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ring = list(state.get[0]) if state.exists else []
         for frame in frames:
             frame, marks = frame.sort_values("turn"), []
@@ -50,24 +56,47 @@ def recent_repeats(turns: DataFrame, last: int = 8) -> DataFrame:
                 ring = ([*ring, h])[-last:]
             yield pd.DataFrame({"conv_id": key[0], "turn": frame["turn"], "repeated": marks})
         state.update((ring,))
+        if idle:
+            state.setTimeoutDuration(idle)
 
     rows = turns.select("conv_id", "turn", F.xxhash64("text").alias("h"))
-    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, repeated boolean", "ring array<long>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, repeated boolean", "ring array<long>", "append", timeout)
 
 
-def upsert(stream: DataFrame, folder: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch rewrites the table to the latest row of each key, under a folder of its own version.
+def upsert(stream: DataFrame, folder: str, key: list[str], order: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Keeps the latest row of each key, in buckets by the key's hash; a micro-batch rewrites only the buckets it touches.
 
-    A replayed batch writes the same version again, so the table does not depend on how often a batch was tried.
+    A bucket's versions are folders named by the batch that wrote them; a replayed batch reads what stood before it and
+    writes the same version again, so the table does not depend on how often a batch was tried.  ``latest`` reads it.
     """
     from pyspark.sql import window as W
 
     def write(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if version > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{folder}/v{version - 1}").unionByName(batch)
-        latest = rows.withColumn("_r", F.row_number().over(W.Window.partitionBy(*key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
-        latest.write.mode("overwrite").parquet(f"{folder}/v{version}")
+        dealt = batch.withColumn("_bucket", F.pmod(F.hash(*key), F.lit(buckets)))
+        for bucket in sorted(r[0] for r in dealt.select("_bucket").distinct().collect()):  # at most ``buckets``
+            rows = dealt.where(F.col("_bucket") == bucket).drop("_bucket")
+            before = _versions(spark, f"{folder}/b{bucket}", version)
+            if before:
+                rows = spark.read.schema(batch.schema).parquet(f"{folder}/b{bucket}/v{before[-1]}").unionByName(rows)
+            latest = rows.withColumn("_r", F.row_number().over(W.Window.partitionBy(*key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+            latest.write.mode("overwrite").parquet(f"{folder}/b{bucket}/v{version}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, folder: str, below: int | None = None) -> list[int]:
+    """Versions of a bucket that were written to the end, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    done = [s.getPath().getName() for s in store.listStatus(path) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS"))]
+    return sorted(n for n in (int(name[1:]) for name in done if name.startswith("v")) if below is None or n < below)
+
+
+def latest(spark: SparkSession, folder: str, schema, buckets: int = 16) -> DataFrame:
+    """The table that ``upsert`` keeps."""
+    newest = [f"{folder}/b{b}/v{found[-1]}" for b in range(buckets) if (found := _versions(spark, f"{folder}/b{b}"))]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)

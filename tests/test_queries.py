@@ -44,7 +44,25 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+    assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_queries_that_find_nothing_in_the_tables_on_rows_that_occur(spark, tmp_path):
+    """Key-value lines, contradictions, action items and near vectors: rows are there, and equal those of the SQL."""
+    texts = ["Net Revenue: $1,200.50\nStatus: open\nYou must pay now. You should call. It will rain.", "Net Revenue: 900\nStatus: closed\nThey must pay now.", "Status: open\nNothing here", ""]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, i / 300, 0.5], i % 2) for i in range(205)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("numeric_kv_stats", "contradictions", "action_items", "knn_min_sim"):
+        frame, answer = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLES[name])
+        columns = [c[0] for c in answer.description]
+        rows = frame.collect()
+        assert rows, name
+        assert sorted_rows(frame.columns, rows) == sorted_rows(columns, answer.fetchall()), name
 
 
 def test_entry_runs(spark):
