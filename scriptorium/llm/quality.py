@@ -91,17 +91,19 @@ class Index:
     def __init__(self, tokens: list[str]):
         self.at = {t: i + 1 for i, t in enumerate(tokens)}
         self.vectors = np.array([index_vector(t) for t in [RARE, *tokens]])
+        # Where the entries of each vector are that are not zero, and which; what stands between documents has none.
+        spots = np.argsort(self.vectors == 0, axis=1, kind="stable")[:, :NONZERO]
+        self.spots = np.vstack([spots, np.zeros(NONZERO, np.int64)])
+        self.signs = np.vstack([np.take_along_axis(self.vectors, spots, axis=1), np.zeros(NONZERO)])
 
     def neighbours(self, documents: list[np.ndarray]) -> np.ndarray:
         """Sum of the neighbours' index vectors, a row for each token."""
         gap = len(self.vectors)  # stands between documents; its own row is left out in the end
         ids = np.concatenate([np.append(d, [gap] * WINDOW) for d in documents])
-        spots = np.vstack([np.argsort(self.vectors == 0, axis=1, kind="stable")[:, :NONZERO], np.zeros(NONZERO, np.int64)])
-        signs = np.vstack([np.take_along_axis(self.vectors, spots[:-1], axis=1), np.zeros(NONZERO)])
         total = np.zeros((gap + 1) * DIMENSIONS)
         for step in range(1, WINDOW + 1):
             for own, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
-                total += np.bincount((own[:, None] * DIMENSIONS + spots[other]).ravel(), signs[other].ravel(), len(total))
+                total += np.bincount((own[:, None] * DIMENSIONS + self.spots[other]).ravel(), self.signs[other].ravel(), len(total))
         return total.reshape(gap + 1, DIMENSIONS)[:gap].astype(np.int64)
 
 
