@@ -75,7 +75,7 @@ def vocabulary(docs: DataFrame) -> list[str]:
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
         for batch in batches:
             for text in batch.column("text"):
-                counts.update({t for t in tokens_of(text.as_py()) if len(t) <= LONGEST_TOKEN})
+                counts.update(t for t in set(tokens_of(text.as_py())) if len(t) <= LONGEST_TOKEN)
                 if len(counts) > COUNTED:
                     yield rows()
                     counts.clear()
