@@ -31,7 +31,7 @@ MAX_LABELLED, MAX_BYTES = 5000, 64 << 20
 #: Longer tokens are rare ones.
 LONGEST_TOKEN = 64
 #: Tokens that a worker counts before it passes the counts on, and whose neighbours it adds up at once.
-COUNTED, RUN = 300_000, 100_000
+COUNTED, RUN = 300_000, 200_000
 VOCABULARY, DIMENSIONS, NONZERO, WINDOW = 20_000, 64, 8, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 
@@ -99,11 +99,14 @@ class Index:
     def neighbours(self, documents: list[np.ndarray]) -> np.ndarray:
         """Sum of the neighbours' index vectors, a row for each token."""
         gap = len(self.vectors)  # stands between documents; its own row is left out in the end
+        width = gap + 1
         ids = np.concatenate([np.append(d, [gap] * WINDOW) for d in documents])
-        total = np.zeros((gap + 1) * DIMENSIONS)
-        for step in range(1, WINDOW + 1):
-            for own, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
-                total += np.bincount((own[:, None] * DIMENSIONS + self.spots[other]).ravel(), self.signs[other].ravel(), len(total))
+        # Neighbours repeat: each pair of tokens is added once, times its number.
+        pairs, times = np.unique(np.concatenate([ids[step:] * width + ids[:-step] for step in range(1, WINDOW + 1)]), return_counts=True)
+        left, right = np.divmod(pairs, width)
+        total = np.zeros(width * DIMENSIONS)
+        for own, other in ((left, right), (right, left)):
+            total += np.bincount((own[:, None] * DIMENSIONS + self.spots[other]).ravel(), (self.signs[other] * times[:, None]).ravel(), len(total))
         return total.reshape(gap + 1, DIMENSIONS)[:gap].astype(np.int64)
 
 
