@@ -13,8 +13,6 @@ from .ordering import placed
 
 #: Fixed value: what counts as an entity here, a longer capitalised ASCII word.
 ENTITY = "[A-Z][a-z]{6,}"
-#: What the SQL of ``entity_cooccurrence`` counts as one, and therefore the query: words of nine letters and more.
-SQL_ENTITY = "[A-Z][a-z]{8,}"
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -165,8 +163,8 @@ def queries() -> dict[str, tuple]:
     gram = "CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{m}], ' ')) ELSE [] END"
     return {
         "entity_cooccurrence": (
-            on("documents", lambda docs: cooccurrence(docs, pattern=SQL_ENTITY)),
-            """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM documents), e AS (SELECT DISTINCT doc_id, line, lower(unnest(regexp_extract_all(s, '[A-Z][a-z]{8,}'))) AS entity FROM l)
+            on("documents", cooccurrence),
+            f"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM documents), e AS (SELECT DISTINCT doc_id, line, lower(unnest(regexp_extract_all(s, '{ENTITY}'))) AS entity FROM l)
             SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n, count(DISTINCT a.doc_id) AS docs FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.line = b.line AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2""",
         ),
         "doc_entity_overlap": (
