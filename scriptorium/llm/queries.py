@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, toxicity, url_filter
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_ann": ann.op8_ann,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op13_token_files": token_files.op13_token_files,
         # The columns of op10_license_scan that SQL can say, held against SQL.
         "license_base_phrases": license_scan.license_base_phrases,
     }
