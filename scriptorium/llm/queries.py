@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, token_files, toxicity, url_filter
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality, spelling, token_files, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_ann": ann.op8_ann,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_whitening": whitening.op12_whitening,
         "op13_token_files": token_files.op13_token_files,
         # The columns of op10_license_scan that SQL can say, held against SQL.
         "license_base_phrases": license_scan.license_base_phrases,
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_ann": ann.ORACLE, "license_base_phrases": license_scan.BASE_ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_ann": ann.ORACLE, "op11_spelling": spelling.ORACLE, "license_base_phrases": license_scan.BASE_ORACLE}
