@@ -22,9 +22,11 @@ columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,15 @@ from .common import durable, slices, table, tune
 MAGIC = b"IDBITS01"
 HEADER = struct.Struct("<8sIIQQQQ")
 #: Ids in a shard (or one document, if that has more) and in a block; stretches that a worker remembers.
-SHARD_IDS, BLOCK_IDS, CACHE_STRETCHES = 1 << 23, 4096, 200_000
+SHARD_IDS, BLOCK_IDS, CACHE_STRETCHES = 1 << 23, 4096, 600_000
 END_ID = 2
+# Characters that the tokenizer's normal form leaves alone but for case (printable ASCII, Latin letters),
+# how it divides them once lowered, and the characters that its vocabulary has for bytes.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
+NOT_PLAIN, SET_APART = r"[^\t-\r!-~À-ÖØ-öø-įı-ſ ]|<\|", r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\[-`{-~]+)"
+_UNSEEN = [b for b in range(256) if b <= 32 or 127 <= b <= 160 or b == 173]
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(_UNSEEN)}
 
 
 def width_for(vocabulary: int) -> int:
@@ -158,12 +167,41 @@ class StretchEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
+        self._place: dict[str, int] = {}
+        self._ends, self._flat, self._uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self._place: dict[str, int] = {}
-        self._ends, self._flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        """Drop all stretches that only one slice had: rare words come and go, frequent ones stay."""
+        kept = [(s, k) for s, k in self._place.items() if self._uses[k] > 1] if self._place else []
+        places = np.array([k for _, k in kept], np.int64)
+        sizes = (self._ends[1:] - self._ends[:-1])[places] if len(kept) else np.zeros(0, np.int64)
+        ends = np.zeros(len(kept) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        self._flat = self._flat[np.repeat(self._ends[places] - ends[:-1], sizes) + np.arange(ends[-1])]
+        self._ends, self._uses = ends, np.zeros(len(kept), np.int64)
+        self._place = {s: k for k, (s, _) in enumerate(kept)} if 2 * len(kept) < CACHE_STRETCHES else {}
+        if not self._place:
+            self._ends, self._flat, self._uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _spelt(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch, as bytes.
+
+        Of plain characters the pieces go to the library's model; everything else to all of the library.
+        """
+        out, others, tokenize = [b""] * len(stretches), [], self._model.tokenize
+        for k, stretch in enumerate(stretches):
+            if stretch.isascii() and stretch.isalpha():
+                out[k] = array("I", [t.id for t in tokenize(stretch.lower())]).tobytes()
+            elif PLAIN.fullmatch(stretch) and "<|" not in stretch:
+                spelt = (piece.encode().decode("latin-1").translate(BYTE_CHARACTERS) for piece in PIECE.findall(stretch.lower()))
+                out[k] = array("I", [t.id for piece in spelt for t in tokenize(piece)]).tobytes()
+            else:
+                others.append(k)
+        for k, encoding in zip(others, self._tokenizer.encode_batch([stretches[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = array("I", encoding.ids).tobytes()
+        return out
 
     def _places(self, stretches: list[str]) -> np.ndarray:
         if len(self._place) + len(stretches) > CACHE_STRETCHES:
@@ -171,18 +209,25 @@ class StretchEncoder:
         known = self._place
         fresh = [s for s in stretches if s not in known]
         if fresh:
-            found = [e.ids for e in self._tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) + self._ends[-1]
+            found = self._spelt(fresh)
+            ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) // 4 + self._ends[-1]
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self._ends = np.concatenate([self._ends, ends])
-            self._flat = np.concatenate([self._flat, *(np.array(ids, np.uint32) for ids in found)])
-        return np.array([known[s] for s in stretches], np.int64)
+            self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(found), np.uint32)])
+            self._uses = np.concatenate([self._uses, np.zeros(len(fresh), np.int64)])
+        places = np.array([known[s] for s in stretches], np.int64)
+        self._uses[places] += 1
+        return places
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after the other, ``end_id`` behind each text, and the number of each text's ids."""
-        pieces = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        # Texts of plain characters are divided further, into lowered pieces, of which far fewer differ.
+        plain = pc.invert(pc.match_substring_regex(texts, NOT_PLAIN))
+        texts = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(texts), SET_APART, r" \1 "), texts)
+        pieces = pc.ascii_split_whitespace(texts)
         words = pieces.flatten().dictionary_encode()
-        places = self._places(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        places = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         sizes = (self._ends[1:] - self._ends[:-1])[places]
         total = np.zeros(len(places) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
