@@ -82,7 +82,7 @@ def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
     if not mine:
         return 0.0
     theirs = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     m = len(mine)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     start = 0
@@ -92,10 +92,12 @@ def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
 
 
 def initial_matches(a: str, b: str) -> bool:
-    """Whether the last words are equal, and one first word is the other's first letter ("J. Smith", "John Smith")."""
+    """Whether the last words are equal, and one first word is the other's first letter ("J. Smith", "John Smith") or missing."""
     x, y = a.split(), b.split()
-    if len(x) < 2 or len(y) < 2 or x[-1] != y[-1]:
+    if not x or not y or x[-1] != y[-1]:
         return False
+    if len(x) == 1 or len(y) == 1:
+        return len(x) != len(y)
     first, other = x[0].rstrip("."), y[0].rstrip(".")
     return (len(first) == 1 and other.startswith(first)) or (len(other) == 1 and first.startswith(other))
 
@@ -105,46 +107,6 @@ def same_name(a: str, b: str, least: float) -> bool:
     return a == b or initial_matches(a, b) or jaro_winkler(a, b) >= least
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz ."
-
-
-def name_leaders(names: list[str], least: float) -> list[str]:
-    """Of ASCII names in order of their rank, each one's leader: the first leading name that is the same, or itself.
-
-    Leaders are passed over only if the letters shared and the common beginning keep Jaro-Winkler under ``least``.
-    """
-    lower = [x.lower() for x in names]
-    counts = np.array([[x.count(c) for c in _LETTERS] for x in lower], np.int16).reshape(len(names), len(_LETTERS))
-    sizes = np.array([len(x) for x in lower], np.float64)
-    starts = np.array([[ord(c) for c in x[:4].ljust(4, "\0")] for x in lower], np.int32).reshape(len(names), 4)
-    ends: dict[str, int] = {}
-    last = np.array([ends.setdefault(x.split()[-1], len(ends)) for x in lower], np.int64)
-    leaders = np.zeros(len(names), np.int64)
-    n, out = 0, []
-    for i, name in enumerate(names):
-        at = leaders[:n]
-        shared = np.minimum(counts[at], counts[i]).sum(axis=1)
-        jaro = (shared / sizes[at] + shared / sizes[i] + 1) / 3
-        same = np.cumprod((starts[at] == starts[i]) & (starts[i] > 0), axis=1).sum(axis=1)
-        likely = (jaro + same * 0.1 * (1 - jaro) >= least - 1e-9) | (last[at] == last[i])
-        leader = next((names[j] for j in at[likely] if same_name(name, names[j], least)), None)
-        if leader is None:
-            leaders[n] = i
-            n += 1
-        out.append(leader or name)
-    return out
-
-
-def name_clusters(least: float):
-    """A grouped function: names of one label (name, confidence) to their cluster's leading name, surest first."""
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["confidence", "name"], ascending=[False, True])
-        return pd.DataFrame({"label": group["label"], "name": group["name"], "leader": name_leaders(group["name"].tolist(), least)})
-
-    return cluster
-
-
 def fresh_lines(lines: list[str], least: float = 0.92, last: int = 10) -> list[int]:
     """Positions of lines that equal no kept line (lowered, blanks squeezed) and resemble none of the ``last`` kept ones."""
     from difflib import SequenceMatcher

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -26,3 +26,35 @@ def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     joined = dealt.join(small(offsets), same)
     inside = W.Window.partitionBy(*by, "_part").orderBy(*order)
     return joined.withColumn("place", F.row_number().over(inside) + F.col("_before")).select(*rows.columns, "place", "group_rows")
+
+
+def _last(value: Column, before: Column) -> Column:
+    return F.coalesce(value, before)
+
+
+#: How a running value is taken within rows, and how what came before a range of rows goes in.
+RUNNING = {
+    "last": (lambda c: F.last(c, ignorenulls=True), _last),
+    "max": (F.max, F.greatest),
+    "sum": (F.sum, lambda value, before: F.coalesce(value, F.lit(0)) + F.coalesce(before, F.lit(0))),
+}
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` with, for each name in ``values``, the last, max or sum (nulls aside) of a column over the rows before.
+
+    ``values`` maps a new name to (kind, column).  Groups and places are as in ``placed``: rows are dealt by ranges of
+    group and order, and each range starts with what the ranges before it in its group end with, so one group of any
+    size spreads over many tasks.  Rows of equal order come in any order.
+    """
+    keys = [F.col(c) for c in (*by, *order)]
+    dealt = durable(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "running")
+    at = F.struct(*order)
+    whole = {name: F.max_by(c, F.when(F.col(c).isNotNull(), at)) if kind == "last" else RUNNING[kind][0](F.col(c)) for name, (kind, c) in values.items()}
+    parts = dealt.groupBy(*by, "_part").agg(*(e.alias(f"_{name}") for name, e in whole.items()))
+    earlier = W.Window.partitionBy(*by).orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_p"), *(RUNNING[kind][0](F.col(f"_{name}")).over(earlier).alias(f"_{name}") for name, (kind, _) in values.items()))
+    same = reduce(lambda a, b: a & b, [dealt[c].eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_p"))
+    inside = W.Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
+    made = [RUNNING[kind][1](RUNNING[kind][0](F.col(c)).over(inside), F.col(f"_{name}")).alias(name) for name, (kind, c) in values.items()]
+    return dealt.join(small(before), same).select(*rows.columns, *made)

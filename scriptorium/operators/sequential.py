@@ -19,16 +19,6 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", F.md5("kept").alias("kept_md5"))
 
 
-def resolved_names(docs: DataFrame, least: float = 0.85) -> DataFrame:
-    """Names (two capitalised words, or an initial and one) to the surest of those that are equal, initials of it, or alike.
-
-    Equal names are one row first; then all names of a language are compared, in order, in one task.
-    """
-    found = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(?:[A-Z][a-z]{2,}|\b[A-Z]\.?) [A-Z][a-z]{2,}"), F.lit(0))).alias("name"))
-    names = found.groupBy(F.col("lang").alias("label"), "name").agg(F.count("*").cast("double").alias("confidence"))
-    return names.groupBy("label").applyInPandas(kernels.name_clusters(least), "label string, name string, leader string")
-
-
 def evidence(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each item its two best documents by BM25, and how well the closest stretch of each matches the item."""
     pairs = retrieval.bm25(docs, benchmark, 2).join(docs.select("doc_id", F.col("text").alias("hay")), "doc_id").join(benchmark.select("item_id", F.col("text").alias("needle")), "item_id")
@@ -59,7 +49,6 @@ def queries() -> dict[str, tuple]:
     two = lambda f: lambda spark, d: f(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return {
         "sequence_matcher_dups": (on("documents", without_similar_lines), None),
-        "resolved_names": (on("documents", resolved_names), None),
         "verify_evidence": (two(evidence), None),
         "context_budget": (two(contexts), None),
         "greedy_clusters": (on("embeddings", clusters), None),

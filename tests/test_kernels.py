@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from scriptorium.operators import dedupe, kernels, linking, rules, sequential
+from scriptorium.operators import dedupe, kernels, linking, rules
 from scriptorium.plans import ask
 
 
@@ -42,27 +42,6 @@ def test_windows_and_clusters():
     assert kernels.centroid_clusters(np.array([[1, 0], [0.9, 0.1], [0, 1], [-1, 0]], float), 0.8, 2) == [0, 0, 1, 1]
 
 
-def test_names_like_every_pair_compared():
-    r = random.Random(2)
-    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(3, 7))).title()
-    names = sorted({f"{r.choice([word(), word(), word()[0], word()[0] + '.'])} {word()}" for _ in range(300)} | {"Jonathan Smith", "Jonathan Msith", "J. Smith"})
-    r.shuffle(names)
-    for least in (0.75, 0.85):
-        leaders, want = [], []
-        for name in names:
-            leader = next((x for x in leaders if kernels.same_name(name, x, least)), None)
-            leaders += [name] if leader is None else []
-            want.append(leader or name)
-        assert kernels.name_leaders(names, least) == want and 20 < len(leaders) < 290
-
-
-def test_names_across_first_letters_and_initials(spark):
-    text = "Katherine Miller. " * 3 + "Catherine Miller, Jonathan Smith; Jonathan Smith, Jonathan Msith. J. Smith"
-    got = sequential.resolved_names(spark.createDataFrame([("en", text), ("de", "Catherine Miller")], "lang string, text string")).collect()
-    want = {("en", "Katherine Miller"): "Katherine Miller", ("en", "Catherine Miller"): "Katherine Miller", ("de", "Catherine Miller"): "Catherine Miller"}
-    assert {(x.label, x.name): x.leader for x in got} == want | {("en", x): "Jonathan Smith" for x in ("Jonathan Smith", "Jonathan Msith", "J. Smith")}
-
-
 def test_cooccurrence_of_entities_of_seven_letters(spark):
     docs = spark.createDataFrame([(1, "Abcdefg and Hijklmno"), (2, "Hijklmno, Abcdefg, Abcdef")], "doc_id long, text string")
     assert [tuple(x) for x in linking.cooccurrence(docs).collect()] == [("abcdefg", "hijklmno", 2, 2)]
