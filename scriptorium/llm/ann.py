@@ -9,6 +9,9 @@ A query makes one table of inner products with all codewords; the distance to a
 the stored norm.  By the triangle inequality the true distance lies within the stored distance of it, so whatever cannot
 be among the nearest is left out, and what remains is ranked by exact distances.  Results are therefore exact.
 
+Coding and bounding take vectors less the mean of those that were fitted, which leaves distances as they are; sums that
+may cancel get a slack by the norms of what goes into them, so rounding rules nothing out wherever the vectors lie.
+
 The search is one join.  Index rows lie in cells, one for each word of the first codebook, and each cell has a centre and
 a radius.  A query begins with a bound, the distance of the last of its nearest among the vectors that the codebooks were
 fitted on, and goes only to the cells that reach within it.  Cells are dealt into parts and their queries into blocks of
@@ -53,8 +56,17 @@ def _cluster(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int =
     return words
 
 
+def rounding(width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far |a|**2 + |b|**2 - 2 ab may be from the squared distance, by the norms of both sides."""
+    return 1e-15 * (width + 16) * (a + b) ** 2
+
+
 class Quantiser:
+    """Codebooks for vectors less ``shift``; every method takes or gives such."""
+
     def __init__(self, x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 11):
+        self.shift = x.mean(axis=0)
+        x = x - self.shift
         rng = np.random.default_rng(seed)
         rest, found = x.astype(np.float64), []
         for _ in range(books):
@@ -118,13 +130,15 @@ def build(rows: DataFrame, width: int) -> tuple[Quantiser, np.ndarray, np.ndarra
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                x = _matrix(part.column("v"), width)
+                x = _matrix(part.column("v"), width) - q.shift
                 codes = q.encode(x)
                 near = q.decode(codes)
                 flat = pa.array(codes.astype(np.int32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * codes.shape[1]), flat)
                 cells = codes[:, 0].astype(np.int32)
-                columns = [pa.array((near**2).sum(axis=1)), pa.array(np.sqrt(((x - near) ** 2).sum(axis=1))), pa.array(cells), pa.array(np.sqrt(((x - q.books[0][cells]) ** 2).sum(axis=1)))]
+                norms, tiny = (near**2).sum(axis=1), 1e-14 * (np.abs(q.books[np.arange(len(q.books)), codes]).sum(axis=(1, 2)) + np.abs(x).sum(axis=1))
+                off, reach = (np.sqrt(((x - c) ** 2).sum(axis=1)) * (1 + 1e-9) + tiny for c in (near, q.books[0][cells]))
+                columns = [pa.array(norms), pa.array(off), pa.array(cells), pa.array(reach)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), lists, *columns], ["id", "v", "codes", "norm", "off", "cell", "reach"])
 
     index = rows.mapInArrow(work, "id long, v array<double>, codes array<int>, norm double, off double, cell int, reach double")
@@ -137,20 +151,22 @@ def exact_distances(query: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _sent(queries: DataFrame, quantiser: Quantiser, ids: np.ndarray, fitted: np.ndarray, radii: np.ndarray, nearest: int) -> DataFrame:
     """id, v, bound and cell: each query once for every cell that reaches within its bound."""
-    shared = queries.sparkSession.sparkContext.broadcast((quantiser.books[0], ids, fitted, radii))
+    shared = queries.sparkSession.sparkContext.broadcast((quantiser.books[0], quantiser.shift, ids, fitted - quantiser.shift, radii))
     width = fitted.shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, ids, fitted, radii = shared.value
+        centres, shift, ids, fitted, radii = shared.value
+        there, middle = np.linalg.norm(fitted, axis=1), np.linalg.norm(centres, axis=1)
         for batch in batches:
             for at in range(0, batch.num_rows, max(1, PAIRS // len(fitted))):
                 part = batch.slice(at, max(1, PAIRS // len(fitted)))
-                q, own = _matrix(part.column("v"), width), part.column("id").to_numpy()
-                near = (q**2).sum(axis=1)[:, None] + (fitted**2).sum(axis=1) - 2 * q @ fitted.T
-                near = np.where(own[:, None] == ids, np.inf, np.maximum(near, 0))
+                q, own = _matrix(part.column("v"), width) - shift, part.column("id").to_numpy()
+                here = np.linalg.norm(q, axis=1)[:, None]
+                near = here**2 + there**2 - 2 * q @ fitted.T
+                near = np.where(own[:, None] == ids, np.inf, np.maximum(near, 0) + rounding(width, here, there))
                 bound = np.sqrt(np.partition(near, nearest - 1, axis=1)[:, nearest - 1]) if len(fitted) >= nearest else np.full(len(q), np.inf)
-                bound = bound * (1 + 1e-6) + 1e-6  # rounding must not rule anything out
-                away = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * q @ centres.T, 0)) * (1 - 1e-6) - 1e-6
+                bound = bound * (1 + 1e-9)
+                away = np.sqrt(np.maximum(here**2 + middle**2 - 2 * q @ centres.T - rounding(width, here, middle), 0)) * (1 - 1e-9)
                 rows, cells = np.nonzero((away - radii <= bound[:, None]) & (radii >= 0))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("v").take(pa.array(rows)), pa.array(bound[rows]), pa.array(cells.astype(np.int32))], ["id", "v", "bound", "cell"])
 
@@ -166,14 +182,16 @@ def _meet(quantiser: Quantiser, width: int, nearest: int):
             x, own = _matrix(rows["v"].combine_chunks(), width), rows["id"].to_numpy()
             codes = _matrix(rows["codes"].combine_chunks(), len(quantiser.books))
             norm, off = rows["norm"].to_numpy(), rows["off"].to_numpy()
+            there = np.linalg.norm(quantiser.books, axis=2)[np.arange(codes.shape[1]), codes].sum(axis=1)
             q, ids, bound = _matrix(asked["v"].combine_chunks(), width), asked["id"].to_numpy(), asked["bound"].to_numpy()
             parts = []
             for at in range(0, len(q), max(1, PAIRS // len(x))):
                 block = slice(at, at + max(1, PAIRS // len(x)))
-                tables, norms = quantiser.tables(q[block]), (q[block] ** 2).sum(axis=1)
+                centred = q[block] - quantiser.shift
+                tables, here = quantiser.tables(centred), np.linalg.norm(centred, axis=1)[:, None]
                 inner = sum(tables[:, b][:, codes[:, b]] for b in range(codes.shape[1]))
-                about = np.sqrt(np.maximum(norms[:, None] + norm - 2 * inner, 0))
-                slack = off + 1e-9 * (1 + about)  # rounding must not rule anything out
+                about, doubt = np.sqrt(np.maximum(here**2 + norm - 2 * inner, 0)), rounding(width, here, there)
+                slack = off + 1e-9 * about + np.minimum(np.sqrt(doubt), doubt / np.maximum(about, 1e-300))
                 others = ids[block][:, None] != own
                 limit = bound[block]
                 if len(x) > nearest:

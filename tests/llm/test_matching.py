@@ -195,6 +195,23 @@ def test_neighbours_like_brute_force(spark):
     assert got == slow_neighbours(rows, 100, 10)
 
 
+@pytest.mark.parametrize(("offset", "kind"), [(0.0, "double"), (1e4, "double"), (1e8, "double"), (3e11, "double"), (0.0, "float"), (1e4, "float")])
+def test_neighbours_wherever_the_vectors_lie(spark, offset, kind):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2000, 16)) + offset * r.choice([-1.0, 1.0], size=16)
+    x[1900:] += 50 * max(1.0, offset / 1e3)  # a second cloud far from the mean
+    x = x.astype(np.float32 if kind == "float" else np.float64).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = sorted((n.query_id, n.rank, n.vec_id, n.score) for n in ann.search(frame).collect())
+    want = []
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        want += [(q, k + 1, int(i), float(d[i])) for k, i in enumerate(order)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12, atol=0)
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     assert ann.search(spark.createDataFrame([], schema)).count() == 0
@@ -206,6 +223,7 @@ def test_neighbours_of_few_or_no_vectors(spark):
 def test_beam_search_beats_greedy_coding():
     x = np.random.default_rng(1).normal(size=(500, 16))
     q = ann.Quantiser(x, books=4, words=16)
+    x = x - q.shift
     off = lambda codes: float(((x - q.decode(codes)) ** 2).sum())
     assert off(q.encode(x, 8)) < off(q.encode(x, 1)) < float((x**2).sum())
 
