@@ -68,10 +68,11 @@ def test_leaders_in_rounds_equal_the_greedy_order(spark):
     assert sorted(int(x["name"]) for x in resolution.leaders(same).collect()) == kept
 
 
-def test_whole_resolution_equals_the_greedy_order(spark):
+@pytest.mark.parametrize(("first_batch", "part_names"), [(512, 4096), (7, 5)])
+def test_whole_resolution_equals_the_greedy_order(spark, first_batch, part_names):
     names = names_for(3, 200)
     frame = spark.createDataFrame([(lab, n.title(), float(len(n) % 5)) for lab in ("a", "b") for n in names[:: 1 if lab == "a" else 3]], "label string, name string, confidence double")
-    found = {(r["label"], r["name"].lower()): r["leader"].lower() for r in resolution.resolved(frame).collect()}
+    found = {(r["label"], r["name"].lower()): r["leader"].lower() for r in resolution.resolved(frame, part_names=part_names, first_batch=first_batch).collect()}
     for lab, step in (("a", 1), ("b", 3)):
         order = sorted(names[::step], key=lambda n: (-(len(n) % 5), n.title()))
         assert {n: v for (k, n), v in found.items() if k == lab} == greedy(order)
