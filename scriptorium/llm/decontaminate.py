@@ -2,8 +2,8 @@
 
 Seeds (hashes of runs of LEAST words) of documents and benchmark items are joined.  One pass over the documents keeps the
 places whose seed a bitmap of the benchmark's seeds admits (a bitmap of fixed size, whatever the benchmark); those
-rows meet the benchmark's seeds in a join, and pairs whose shared seeds could cover enough of the item are tiled: again
-and again the longest common run of words that no tile has taken yet is found by running Karp-Rabin hashes and marked.
+rows meet the benchmark's rare seeds in a join (an item's most frequent seeds, as many as do not cover enough of it, make
+no pairs), and pairs whose shared seeds could cover enough of the item are tiled: again and again the longest common run of words that no tile has taken yet is found by running Karp-Rabin hashes and marked.
 Tiles need not keep their order, so passages whose parts were moved still add up.  An item is held to be leaked if tiles
 cover a share of its words.
 
@@ -119,17 +119,44 @@ def item_table(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def seed_table(items: DataFrame, least: int = LEAST) -> DataFrame:
-    """item, size (words), seed and ``places`` (how often the item has it)."""
+    """item, size (words), seed and ``starts`` (where the item has it)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("words")
             words, sizes = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
             seeds, rows = shingle_hashes(words, np.repeat(np.arange(len(sizes)), sizes), len(sizes), least)
-            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(rows)), pa.array(sizes[rows].astype(np.int64)), pa.array(seeds.view(np.int64))], ["item", "size", "seed"])
+            starts = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(rows)), pa.array(sizes[rows].astype(np.int64)), pa.array(seeds.view(np.int64)), pa.array(starts.astype(np.int32))], ["item", "size", "seed", "start"])
 
-    seeds = items.select("item", "words").mapInArrow(work, "item long, size long, seed long")
-    return durable(seeds.groupBy("item", "size", "seed").agg(F.count("*").alias("places")), "benchmark-seeds")
+    seeds = items.select("item", "words").mapInArrow(work, "item long, size long, seed long, start int")
+    return durable(seeds.groupBy("item", "size", "seed").agg(F.collect_list("start").alias("starts")), "benchmark-seeds")
+
+
+def rare_seeds(size: int, seeds: list[dict], covered: float, least: int = LEAST) -> list[int]:
+    """The item's seeds less its most frequent ones, as many as do not cover enough of it: who shares those alone cannot leak."""
+    inside, ordered = np.zeros(size, bool), sorted(seeds, key=lambda x: (-x["n"], x["seed"]))
+    for k, one in enumerate(ordered):
+        for start in one["starts"]:
+            inside[start : start + least] = True
+        if inside.sum() >= covered * size:
+            return [x["seed"] for x in ordered[k:]]
+    return []
+
+
+def candidates(hits: DataFrame, seeds: DataFrame, covered: float = COVERED, least: int = LEAST) -> DataFrame:
+    """doc and item that share one of the item's rare seeds."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [(item, seed) for item, size, some in zip(*(batch.column(c).to_pylist() for c in ("item", "size", "seeds")), strict=True) for seed in rare_seeds(size, some, covered, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in chosen], pa.int64()) for k in (0, 1)], ["item", "seed"])
+
+    each = hits.select("doc", F.explode("seeds").alias("seed"))
+    counted = each.groupBy("seed").agg(F.count("*").alias("n")).join(small(seeds), "seed")
+    by_item = counted.groupBy("item", "size").agg(F.collect_list(F.struct("n", "seed", "starts")).alias("seeds"))  # an item's words at the most
+    rare = durable(by_item.mapInArrow(work, "item long, seed long"), "rare-seeds")
+    return each.join(small(rare), "seed").select("doc", "item").distinct()
 
 
 def bitmap(seeds: DataFrame) -> np.ndarray:
@@ -192,10 +219,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least
         items = item_table(benchmark, least)
         seeds = seed_table(items, least)
         hits = durable(_hits(docs, bitmap(seeds), least).withColumn("doc", F.monotonically_increasing_id()), "seed-hits")
-        met = hits.select("doc", F.explode("seeds").alias("seed")).join(small(seeds), "seed")
-        # A seed covers as many words as the shortest tile at the most, so fewer shared ones cannot cover enough of the item.
-        pairs = met.groupBy("doc", "item", "size").agg(F.sum("places").alias("places")).where(F.col("places") * least >= covered * F.col("size"))
-        both = pairs.select("doc", "item").join(hits.select("doc", "doc_id", "text_hash", F.col("words").alias("text"), "origins"), "doc")
+        pairs = candidates(hits, seeds, covered, least)
+        both = pairs.join(hits.select("doc", "doc_id", "text_hash", "seeds", F.col("words").alias("text"), "origins"), "doc")
         both = both.join(small(items.select("item", "item_id", F.col("words").alias("item_text")), 20_000), "item")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +229,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least
                 for row in range(batch.num_rows):
                     one = lambda name: batch.column(name)[row]  # noqa: B023, E731
                     item, text, origins = (one(name).values.to_numpy() for name in ("item_text", "text", "origins"))
+                    # Tiles consist of shared seeds, so what those cover bounds them.
+                    own, _ = shingle_hashes(item.view(np.uint64), np.zeros(len(item), np.int64), 1, least)
+                    starts = np.flatnonzero(np.isin(own.view(np.int64), one("seeds").values.to_numpy()))
+                    inside = np.zeros(len(item) + 1, np.int64)
+                    np.add.at(inside, starts, 1)
+                    np.add.at(inside, starts + least, -1)
+                    if (np.cumsum(inside) > 0).sum() < covered * len(item):
+                        continue
                     tiles = tile(item.view(np.uint64), text.view(np.uint64), least)
                     matched = sum(n for _, _, n in tiles)
                     if matched >= covered * len(item):
@@ -212,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), _KINDS, strict=True)], ["doc_id", "text_hash", "item_id", "item_words", "matched_words", "coverage", "tiles"])
 
-        rows = both.select("doc_id", "text_hash", "item_id", "text", "origins", "item_text").mapInArrow(work, SCHEMA)
+        rows = both.select("doc_id", "text_hash", "item_id", "seeds", "text", "origins", "item_text").mapInArrow(work, SCHEMA)
         return durable(rows, "leaks", keep=True)
 
 

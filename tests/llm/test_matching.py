@@ -174,6 +174,37 @@ def test_urls_without_rules_or_rows(spark):
     assert [x.verdict for x in url_filter.url_verdicts(pages, twice).collect()] == ["allow"] * 2
 
 
+def test_openings_that_many_items_and_documents_share_make_no_pairs(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    opening = "once upon a time there lived a"
+    items = [(k, opening + " " + " ".join(word() for _ in range(20))) for k in range(300)]
+    docs = [(k, opening + " " + " ".join(word() for _ in range(20))) for k in range(3000)] + [(5000 + k, "see " + items[k][1].split(" ", 3)[3]) for k in range(20)]
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    seeds = decontaminate.seed_table(decontaminate.item_table(bench))
+    found = decontaminate._hits(frame, decontaminate.bitmap(seeds), decontaminate.LEAST).withColumn("doc", F.col("doc_id"))
+    hits = decontaminate.durable(found, "test-hits")
+    assert hits.count() == 3020
+    assert decontaminate.candidates(hits, seeds).count() == 20
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame, bench).collect()} == {(5000 + k, k) for k in range(20)}
+
+
+def test_rare_seeds_leave_out_what_cannot_cover_enough():
+    r = random.Random(12)
+    for _ in range(300):
+        size = r.randint(5, 40)
+        starts = r.sample(range(size - 4), r.randint(1, size - 4))
+        seeds, k = [], 0
+        while starts:
+            some, starts = starts[: r.randint(1, 2)], starts[r.randint(1, 2) :]
+            seeds.append({"n": r.randint(1, 4), "seed": k, "starts": some})
+            k += 1
+        rare = decontaminate.rare_seeds(size, seeds, 0.5)
+        of = lambda some: len({p + d for x in some for p in x["starts"] for d in range(5)})
+        assert of([x for x in seeds if x["seed"] not in rare]) < 0.5 * size
+        assert (not rare) == (of(seeds) < 0.5 * size)
+
+
 # --- nearest neighbours
 
 
