@@ -9,48 +9,61 @@ from pyspark.sql import window as W
 from ..functions import text as T
 from ..sources.tables import small, table
 
-#: Numbers that every text may hold.
-TRIVIAL = ("0", "1", "2", "3")
+# What counts as a number, and numbers that every text may hold.
+NUMBER = r"\b\d+(?:[.,]\d+)*%?\b"
+TRIVIAL = (
+    "0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13", "14", "15", "16", "17", "18", "19", "20",
+    "24", "25", "30", "40", "48", "50", "60", "72", "75", "90", "100",
+)
 
 
-def exchanges(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, answer and evidence: each assistant's turn with all that the user said before it."""
-    before = W.Window.partitionBy("conv_id").orderBy("turn").rowsBetween(W.Window.unboundedPreceding, -1)
-    said = F.array_join(F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(before), " ")
-    return turns.select("conv_id", "turn", "role", F.col("text").alias("answer"), said.alias("evidence")).where("role = 'assistant'").drop("role")
+def answers(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, copy (a hash of the text) and answer: each assistant's turn, repeated rows once."""
+    rows = turns.where("role = 'assistant'").select("conv_id", "turn", F.xxhash64("text").alias("copy"), F.col("text").alias("answer"))
+    return rows.dropDuplicates(["conv_id", "turn", "copy"])
 
 
-def evidence_coverage(rows: DataFrame, key: list[str], threshold: float = 0.4) -> DataFrame:
-    """Share of an answer's sentences whose words the evidence holds; a sentence at 60 % of the threshold counts half.
+def held(items: DataFrame, turns: DataFrame, by: list[str], tokens) -> DataFrame:
+    """conv_id, turn, by, ``n`` and ``held``: how many tokens of ``items`` (column token) the user has said in earlier turns.
 
-    The threshold is 0.1 lower (at least 0.25) for up to two sentences, 0.05 higher (at most 0.55) from five on.
+    A token is looked up by the first turn that says it, so a long conversation costs its words and not their squares.
     """
-    split = rows.select(*key, T.sentences(F.col("answer")).alias("s"), F.array_distinct(T.words(F.col("evidence"))).alias("e")).where(F.size("s") > 0)
-    least = F.when(F.size("s") <= 2, max(0.25, threshold - 0.1)).when(F.size("s") >= 5, min(0.55, threshold + 0.05)).otherwise(threshold)
+    said = turns.where("role = 'user'").select("conv_id", "turn", F.explode(tokens(F.col("text"))).alias("token")).groupBy("conv_id", "token").agg(F.min("turn").alias("first"))
+    found = items.join(said, ["conv_id", "token"], "left")
+    return found.groupBy("conv_id", "turn", *by).agg(F.count("token").alias("n"), F.count_if(F.col("first") < F.col("turn")).alias("held"))
+
 
-    def contained(sentence):
-        words = F.array_distinct(T.words(sentence))
-        return F.when(F.size(words) > 0, F.size(F.array_intersect(words, F.col("e"))) / F.size(words)).otherwise(0.0)
+def evidence_coverage(turns: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """Share of an answer's sentences whose words the user's turns before hold; a sentence at 60 % of the threshold counts half.
 
-    held = split.select(*key, least.alias("least"), F.transform("s", contained).alias("c"))
+    The threshold is 0.1 lower (at least 0.25) for up to two sentences, 0.05 higher (at most 0.55) from five on.
+    """
+    words = lambda c: F.array_distinct(T.words(c))
+    each = answers(turns).select("conv_id", "turn", "copy", F.posexplode(T.sentences(F.col("answer"))).alias("sentence", "s"))
+    items = each.select("conv_id", "turn", "copy", "sentence", F.explode_outer(words(F.col("s"))).alias("token"))
+    shares = held(items, turns, ["copy", "sentence"], words).withColumn("c", F.when(F.col("n") > 0, F.col("held") / F.col("n")).otherwise(0.0))
+    lists = shares.groupBy("conv_id", "turn", "copy").agg(F.collect_list("c").alias("c"))  # a sentence each
+    least = F.when(F.size("c") <= 2, max(0.25, threshold - 0.1)).when(F.size("c") >= 5, min(0.55, threshold + 0.05)).otherwise(threshold)
+    rows = lists.withColumn("least", least)
     full = F.size(F.filter("c", lambda x: x >= F.col("least")))
     half = F.size(F.filter("c", lambda x: (x < F.col("least")) & (x >= F.col("least") * 0.6)))
-    return held.select(*key, F.size("c").alias("sentences"), full.alias("supported"), half.alias("partial"), F.round((full + 0.5 * half) / F.size("c"), 6).alias("coverage"))
+    return rows.select("conv_id", "turn", F.size("c").alias("sentences"), full.alias("supported"), half.alias("partial"), F.round((full + 0.5 * half) / F.size("c"), 6).alias("coverage"))
 
 
-def numeric_precision(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Share of the answer's different numbers, trivial ones aside, that the evidence has; 1 without numbers."""
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
-    sets = rows.select(*key, F.filter(numbers("answer"), lambda n: ~n.isin(*TRIVIAL)).alias("a"), numbers("evidence").alias("e"))
-    return sets.select(*key, F.size("a").alias("numbers"), F.round(F.when(F.size("a") == 0, 1.0).otherwise(F.size(F.array_intersect("a", "e")) / F.size("a")), 6).alias("precision"))
+def numeric_precision(turns: DataFrame) -> DataFrame:
+    """Share of an answer's different numbers, trivial ones aside, that the user's turns before have; 1 without numbers."""
+    numbers = lambda c: F.filter(F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))), lambda n: ~n.isin(*TRIVIAL))
+    items = answers(turns).select("conv_id", "turn", "copy", F.explode_outer(numbers("answer")).alias("token"))
+    found = held(items, turns, ["copy"], numbers)
+    return found.select("conv_id", "turn", F.col("n").cast("int").alias("numbers"), F.round(F.when(F.col("n") == 0, 1.0).otherwise(F.col("held") / F.col("n")), 6).alias("precision"))
 
 
-def provenance(rows: DataFrame, key: list[str], least: float = 0.3) -> DataFrame:
-    """Claims whose words (three letters and more) their source covers by less than ``least``."""
+def provenance(turns: DataFrame, least: float = 0.3) -> DataFrame:
+    """Answers whose words (three letters and more) the user's turns before cover by less than ``least``."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]{3,}"), F.lit(0)))
-    sets = rows.select(*key, words("answer").alias("a"), words("evidence").alias("e")).where(F.size("a") > 0)
-    coverage = F.size(F.array_intersect("a", "e")) / F.size("a")
-    return sets.where(coverage < least).select(*key, F.round(coverage, 6).alias("coverage"))
+    items = answers(turns).select("conv_id", "turn", "copy", F.explode(words("answer")).alias("token"))
+    coverage = F.col("held") / F.col("n")
+    return held(items, turns, ["copy"], words).where(coverage < least).select("conv_id", "turn", F.round(coverage, 6).alias("coverage"))
 
 
 def bar_tables(docs: DataFrame) -> DataFrame:
@@ -162,7 +175,6 @@ def queries() -> dict[str, tuple]:
     sents = lambda c: rf"list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
     words = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9'']+'))"
     x = "x AS (SELECT conv_id, turn, role, text AS answer, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS evidence FROM conversations), ex AS (SELECT * FROM x WHERE role = 'assistant')"
-    key = ["conv_id", "turn"]
     bars = rf"b AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | ')), lambda x: list_transform(string_split(x, '|'), lambda c: {strip('c')})) AS r FROM documents), bt AS (SELECT * FROM b WHERE len(r) > 0)"
     number = r"regexp_matches(c, '^[$€£]?-?[\d,]+\.?\d*%?$')"
     share = lambda cells: f"CASE WHEN len({cells}) > 0 THEN len(list_filter({cells}, lambda c: {number}))::DOUBLE / len({cells}) ELSE 0 END"
@@ -170,14 +182,14 @@ def queries() -> dict[str, tuple]:
         hh AS (SELECT *, filled > 0 AND (1 - h >= 0.8::DOUBLE OR (1 - h >= 0.6::DOUBLE AND t > h)) AS header FROM hs)"""
     return {
         "evidence_coverage": (
-            on("conversations", lambda t: evidence_coverage(exchanges(t), key)),
+            on("conversations", evidence_coverage),
             f"""WITH {x}, s AS (SELECT conv_id, turn, {sents('answer')} AS s, {words('evidence')} AS e FROM ex), c AS (SELECT conv_id, turn, CASE WHEN len(s) <= 2 THEN 0.3::DOUBLE WHEN len(s) >= 5 THEN 0.45::DOUBLE ELSE 0.4::DOUBLE END AS least,
               list_transform(s, lambda y: CASE WHEN len({words('y')}) > 0 THEN len(list_intersect({words('y')}, e))::DOUBLE / len({words('y')}) ELSE 0 END) AS c FROM s WHERE len(s) > 0),
             n AS (SELECT conv_id, turn, len(c)::INT AS sentences, len(list_filter(c, lambda v: v >= least))::INT AS supported, len(list_filter(c, lambda v: v < least AND v >= least * 0.6::DOUBLE))::INT AS partial FROM c)
             SELECT *, round((supported + 0.5::DOUBLE * partial) / sentences, 6) AS coverage FROM n""",
         ),
-        "numeric_precision": (on("conversations", lambda t: numeric_precision(exchanges(t), key)), rf"WITH {x}, n AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(answer, '\d+(?:\.\d+)?')), lambda v: v NOT IN ('0', '1', '2', '3')) AS a, list_distinct(regexp_extract_all(evidence, '\d+(?:\.\d+)?')) AS e FROM ex) SELECT conv_id, turn, len(a)::INT AS numbers, round(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, e))::DOUBLE / len(a) END, 6) AS precision FROM n"),
-        "low_provenance": (on("conversations", lambda t: provenance(exchanges(t), key)), f"WITH {x}, n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9_]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(evidence), '[a-z0-9_]{{3,}}')) AS e FROM ex), c AS (SELECT conv_id, turn, len(list_intersect(a, e))::DOUBLE / len(a) AS c FROM n WHERE len(a) > 0) SELECT conv_id, turn, round(c, 6) AS coverage FROM c WHERE c < 0.3"),
+        "numeric_precision": (on("conversations", numeric_precision), rf"WITH {x}, n AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(answer, '{NUMBER}')), lambda v: v NOT IN {TRIVIAL}) AS a, list_distinct(regexp_extract_all(evidence, '{NUMBER}')) AS e FROM ex) SELECT conv_id, turn, len(a)::INT AS numbers, round(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, e))::DOUBLE / len(a) END, 6) AS precision FROM n"),
+        "low_provenance": (on("conversations", provenance), f"WITH {x}, n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9_]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(evidence), '[a-z0-9_]{{3,}}')) AS e FROM ex), c AS (SELECT conv_id, turn, len(list_intersect(a, e))::DOUBLE / len(a) AS c FROM n WHERE len(a) > 0) SELECT conv_id, turn, round(c, 6) AS coverage FROM c WHERE c < 0.3"),
         "table_integrity": (on("documents", table_integrity), f"WITH {bars}, w AS (SELECT doc_id, list_transform(r, lambda x: len(x)) AS w FROM bt WHERE len(r) >= 2), m AS (SELECT doc_id, len(w)::INT AS n_rows, w[1]::INT AS columns, len(list_filter(w, lambda v: v <> w[1]))::INT AS mismatched FROM w) SELECT *, mismatched > 0.3::DOUBLE * n_rows AS broken FROM m"),
         "table_headers": (on("documents", table_headers), f"WITH {bars}, {heads} SELECT doc_id, list_max(list_transform(r, lambda x: len(x)))::INT AS columns, header, (len(r) - CASE WHEN header THEN 1 ELSE 0 END)::INT AS data_rows, round(t, 6) AS numeric_share FROM hh"),
         "table_row_chunks": (

@@ -174,3 +174,17 @@ def test_one_long_conversation(spark):
     turns = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("Entity"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).otherwise("x").alias("text"))
     got = {r["turn"]: r for r in recency.last_mentions(turns).where("turn in (0, 1, 5, 1001, 99999)").collect()}
     assert (got[0]["asof_turn"], got[1]["asof_turn"], got[5]["recency"], got[1001]["asof_turn"], got[99999]["recency"]) == (None, 0, 0.4, 1000, 0.0)
+
+
+def test_numbers_and_words_that_were_said_before(spark, tmp_path):
+    from scriptorium.operators import evidence
+
+    turns = [(1, 0, "user", "We sold 1,234 units and 7 in 2023 at 45% of 99.5"), (1, 1, "assistant", "You sold 1,234 units, 20 boxes and 888 in 2023. Nothing else. 99.5!"), (1, 2, "user", "And 888?"), (1, 3, "assistant", "888 units. 777 too"), (1, 4, "assistant", ""), (2, 0, "assistant", "Hello 555"), (2, 1, "user", None)]
+    tables = {"conversations": (turns, "conv_id long, turn long, role string, text string")}
+    for name, of in (("numeric_precision", evidence.numeric_precision), ("evidence_coverage", evidence.evidence_coverage), ("low_provenance", evidence.provenance)):
+        rows = same_as_sql(spark, f"{tmp_path}/{name}", name, lambda conversations, of=of: of(conversations), tables, evidence.queries()[name][1])
+        if name == "numeric_precision":
+            assert (1, 1, 4, 0.75) in rows and (1, 3, 2, 0.5) in rows
+    silent = spark.createDataFrame([(3, 0, "assistant", None), (3, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in evidence.numeric_precision(silent).collect()] == [(3, 0, 0, 1.0)]
+    assert evidence.evidence_coverage(silent).count() == evidence.provenance(silent).count() == 0
