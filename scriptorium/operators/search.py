@@ -1,8 +1,7 @@
-"""Searches of a stated query set against all rows: the work is a scan, and no row leaves a task but its nearest ones.
+"""Searches of a stated query set against all rows: parts of the rows meet blocks of the queries, one join for all of them.
 
-Items (texts to search for) are held in blocks of bounded size beside a scan of the documents; a block's inverted index
-adds up scores in numpy, and each task keeps the best of each item.  Vectors meet their queries in a grid of parts and
-blocks of bounded size, one join for all of them.
+Items (texts to search for) make inverted indexes of blocks of bounded size, which add up scores in numpy; vectors meet
+their queries likewise.  No row leaves a task but what may be among a query's nearest.
 """
 
 from __future__ import annotations
@@ -10,16 +9,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import small
+from ..sources.tables import durable, small
 
-#: Items that are held beside a scan at a time; rows and queries that meet in a task.
-BLOCK_ITEMS, PART_ROWS, BLOCK_QUERIES = 4096, 16_384, 1024
+#: Items and rows, or queries and rows, that meet in a task; bits, as a power of two, of the bitmap of terms.
+BLOCK_ITEMS, PART_ROWS, BLOCK_QUERIES, BITS = 4096, 16_384, 1024, 24
 
 
 def best_rows(keys: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, digits: int) -> np.ndarray:
@@ -30,69 +31,92 @@ def best_rows(keys: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, dig
     return order[place < k]
 
 
+def term_bits(terms: DataFrame) -> bytes:
+    """A bitmap of fixed size of the terms' crc32: what it does not have is no term."""
+    slot = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << BITS))
+    rows = terms.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toArrow()
+    words = np.zeros(1 << (BITS - 6), np.int64)
+    words[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return words.astype("<i8").tobytes()
+
+
+def matched(docs: DataFrame, terms: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, size (tokens), kinds (different ones), and the ``terms`` that may be asked for with how often each occurs.
+
+    The one pass over the texts: tokens are found once, and of a text only what is asked for goes on.  Rows without an id
+    take no part; null texts have no tokens.
+    """
+    shared, find = docs.sparkSession.sparkContext.broadcast(term_bits(terms)), re.compile(pattern)
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("kinds", pa.int64()), ("terms", pa.list_(pa.string())), ("tf", pa.list_(pa.int32()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = shared.value, (1 << BITS) - 1
+        for batch in batches:
+            sizes, kinds, found, tf = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                counts = Counter(find.findall((text or "").lower()))
+                sizes.append(sum(counts.values()))
+                kinds.append(len(counts))
+                hits = [t for t in counts if bits[(c := crc32(t.encode()) & mask) >> 3] >> (c & 7) & 1]
+                found.append(hits)
+                tf.append([counts[t] for t in hits])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip((sizes, kinds, found, tf), list(schema)[1:], strict=True))], schema=schema)
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return durable(rows.mapInArrow(work, "doc_id long, size long, kinds long, terms array<string>, tf array<int>"), "matched-terms")
+
+
 class Block:
-    """Items as an inverted index: for each term the items that hold it."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], weights: dict[str, float] | None):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.sizes = np.array([len(t) for _, t in items], np.float64)
-        postings: dict[str, list[int]] = {}
-        for at, (_, terms) in enumerate(items):
-            for term in terms:
-                postings.setdefault(term, []).append(at)
-        self.terms = {t: i for i, t in enumerate(postings)}
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in postings.values()])]).astype(np.int64)
-        self.items = np.array([i for p in postings.values() for i in p], np.int64)
-        self.weights = np.array([1.0 if weights is None else weights.get(t, 0.0) for t in postings], np.float64)
-
-    def scores(self, entries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, item and score of every pair that shares a term; of each document its term numbers and their worth."""
-        sizes = [len(t) for t, _ in entries]
-        docs, terms = np.repeat(np.arange(len(entries)), sizes), np.concatenate([t for t, _ in entries])
-        worth = np.concatenate([w for _, w in entries]) * self.weights[terms]
+    """Items as an inverted index: for each term the items that hold it, with the term's weight."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: pa.Array, weights: np.ndarray):
+        self.ids, self.sizes = ids, np.asarray(sizes, np.float64)
+        coded = terms.dictionary_encode()
+        self.terms, numbers = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(numbers, kind="stable")
+        self.items = np.repeat(np.arange(len(ids)), sizes)[order]
+        self.starts = np.searchsorted(numbers[order], np.arange(len(self.terms) + 1))
+        self.weights = np.zeros(len(self.terms))
+        self.weights[numbers] = weights
+
+    def scores(self, docs: np.ndarray, n_docs: int, terms: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item and score of every pair that shares a term, from documents' terms (by number) and their worth."""
         fan = self.starts[terms + 1] - self.starts[terms]
         within = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
         cells = np.repeat(docs, fan) * len(self.ids) + self.items[np.repeat(self.starts[terms], fan) + within]
-        total = np.bincount(cells, np.repeat(worth, fan), len(entries) * len(self.ids))
+        total = np.bincount(cells, np.repeat(worth * self.weights[terms], fan), n_docs * len(self.ids))
         found = np.unique(cells)
         return found // len(self.ids), found % len(self.ids), total[found]
 
 
-def lexical(docs: DataFrame, items: list[tuple[int, list[str]]], pattern: str, k: int, digits: int, weights: dict[str, float] | None, mean_size: float) -> DataFrame:
-    """item_id, doc_id and score of each task's ``k`` best documents of each item of one block.
-
-    With ``weights`` (of terms) the score is BM25, without it the F1 of the sets of terms.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(Block(items, weights))
-    find = re.compile(pattern)
+def _lexical(k: int, digits: int, bm25: bool, mean_size: float):
+    """A cogrouped function: documents' terms and items of one part and block to the part's best documents of each item."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+    def work(rows: pa.Table, asked: pa.Table) -> pa.Table:
         kept = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
-        step = max(1, (1 << 21) // max(1, len(block.ids)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                entries, sizes = [], []
-                for text in part.column("text"):
-                    counts = Counter(find.findall((text.as_py() or "").lower()))
-                    size = len(counts) if weights is None else sum(counts.values())
-                    hits = [(block.terms[t], n) for t, n in counts.items() if t in block.terms]
-                    terms = np.array([t for t, _ in hits], np.int64)
-                    tf = np.array([n for _, n in hits], np.float64)
-                    entries.append((terms, np.ones(len(tf)) if weights is None else tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean_size))))
-                    sizes.append(size)
-                rows, of, score = block.scores(entries)
-                if weights is None:
-                    score = 2 * score / (np.array(sizes)[rows] + block.sizes[of])
-                doc_ids = part.column("doc_id").to_numpy()[rows]
-                kept = [np.concatenate(x) for x in zip(kept, (of, score, doc_ids), strict=True)]
+        if rows.num_rows and asked.num_rows:
+            held = asked["terms"].combine_chunks()
+            block = Block(asked["item_id"].to_numpy(), held.value_lengths().to_numpy(), held.flatten(), asked["weights"].combine_chunks().flatten().to_numpy())
+            step = max(1, (1 << 21) // max(1, len(block.ids)))
+            for at in range(0, rows.num_rows, step):
+                part = rows.slice(at, step)
+                terms, tf = part["terms"].combine_chunks(), part["tf"].combine_chunks().flatten().to_numpy().astype(np.float64)
+                of = np.repeat(np.arange(part.num_rows), terms.value_lengths().to_numpy())
+                numbers = pc.fill_null(pc.index_in(terms.flatten(), value_set=block.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = np.flatnonzero(numbers >= 0)
+                numbers, of, tf = numbers[hit], of[hit], tf[hit]
+                sizes = part["size"].to_numpy()
+                worth = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * sizes[of] / mean_size)) if bm25 else np.ones(len(tf))
+                docs, items, score = block.scores(of, part.num_rows, numbers, worth)
+                if not bm25:
+                    score = 2 * score / (part["kinds"].to_numpy()[docs] + block.sizes[items])
+                kept = [np.concatenate(x) for x in zip(kept, (items, score, part["doc_id"].to_numpy()[docs]), strict=True)]
                 best = best_rows(kept[0], kept[1], kept[2], k, digits)
                 kept = [x[best] for x in kept]
-        if len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids[kept[0]]), pa.array(kept[2]), pa.array(kept[1])], ["item_id", "doc_id", "score"])
+            kept[0] = block.ids[kept[0]]
+        return pa.table({"item_id": pa.array(kept[0], pa.int64()), "doc_id": pa.array(kept[2], pa.int64()), "score": pa.array(kept[1], pa.float64())})
 
-    return docs.select("doc_id", "text").mapInArrow(work, "item_id long, doc_id long, score double")
+    return work
 
 
 def terms_of(items: DataFrame, pattern: str) -> DataFrame:
@@ -100,28 +124,29 @@ def terms_of(items: DataFrame, pattern: str) -> DataFrame:
 
 
 def top_documents(docs: DataFrame, items: DataFrame, pattern: str, k: int, digits: int, bm25: bool) -> DataFrame:
-    """item_id, doc_id and score of the best of each task; the caller ranks them.  Items come in blocks of BLOCK_ITEMS."""
+    """item_id, doc_id and score of the best of each part; the caller ranks them.
+
+    Texts are tokenised once.  Documents are dealt into parts and items into blocks of bounded size, and each part meets
+    each block in a join; of a document only the terms that items ask for are shuffled.  The score is BM25, or the F1 of
+    the sets of terms.
+    """
     asked = terms_of(items, pattern)
-    mean, total, weight = 1.0, 0, None
-    tokens = docs.select(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    each = asked.select("item_id", F.explode("terms").alias("term"))
+    rows = matched(docs, each.select("term").distinct(), pattern)
+    n_docs, total, mean = rows.agg(F.count("*"), F.count_if(F.col("size") > 0), F.coalesce(F.avg(F.when(F.col("size") > 0, F.col("size"))), F.lit(1.0))).first()
     if bm25:
-        total, mean = tokens.agg(F.count("*"), F.coalesce(F.avg(F.size("w")), F.lit(1.0))).first()
-        each = asked.select(F.explode("terms").alias("term")).distinct()
-        df = tokens.select(F.explode(F.array_distinct("w")).alias("term")).join(small(each), "term").groupBy("term").agg(F.count("*").alias("df"))
+        df = rows.select(F.explode("terms").alias("term")).join(small(each.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
         weight = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighted = asked.select("item_id", F.explode("terms").alias("term")).join(df.select("term", weight.alias("weight")), "term")
-        asked = weighted.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
-    found = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        if bm25:
-            weights = {t["term"]: t["weight"] for r in rows for t in r["terms"]}
-            part = lexical(docs, [(r["item_id"], [t["term"] for t in r["terms"]]) for r in rows], pattern, k, digits, weights, mean)
-        else:
-            part = lexical(docs, [(r["item_id"], r["terms"]) for r in rows], pattern, k, digits, None, mean)
-        found = part if found is None else found.unionByName(part)
-    return found
+        each = each.join(df.select("term", weight.alias("weight")), "term")
+    else:
+        each = each.withColumn("weight", F.lit(1.0))
+    held = each.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("t"))  # an item's terms
+    held = durable(held.select("item_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "asked-terms")
+    parts, blocks = max(1, -(-n_docs // PART_ROWS)), max(1, -(-held.count() // BLOCK_ITEMS))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.where(F.size("terms") > 0).select("*", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), every_of(blocks).alias("block"))
+    right = held.select("*", every_of(parts).alias("part"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_lexical(k, digits, bm25, mean), "item_id long, doc_id long, score double")
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
