@@ -47,6 +47,7 @@ def running(rows: DataFrame, by: list[str], order: list[str], values: dict[str,
     group and order, and each range starts with what the ranges before it in its group end with, so one group of any
     size spreads over many tasks.  Rows of equal order come in any order.
     """
+    rows = durable(rows, "running-rows")  # dealing by ranges reads them twice
     keys = [F.col(c) for c in (*by, *order)]
     dealt = durable(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "running")
     at = F.struct(*order)
