@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "metrics", "screening", "dedupe", "retrieval", "structure", "linking", "rules", "sequential", "graph", "ranking", "evidence", "resolution", "sections", "spans", "labels", "recency", "schema_evidence")
+MODULES = ("quality", "metrics", "screening", "dedupe", "retrieval", "structure", "linking", "rules", "sequential", "graph", "ranking", "evidence", "resolution", "sections", "spans", "labels", "recency", "schema_evidence", "extraction")
 
 
 def _all() -> dict[str, tuple]:

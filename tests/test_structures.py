@@ -188,3 +188,19 @@ def test_numbers_and_words_that_were_said_before(spark, tmp_path):
     silent = spark.createDataFrame([(3, 0, "assistant", None), (3, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in evidence.numeric_precision(silent).collect()] == [(3, 0, 0, 1.0)]
     assert evidence.evidence_coverage(silent).count() == evidence.provenance(silent).count() == 0
+
+
+def test_forms_causes_and_merges_of_rows_that_occur_like_sql(spark, tmp_path):
+    from scriptorium.operators import extraction
+
+    form = "Name: John Smith\nAge\t41\nCity   Rome\nnote: none\nThis is prose: really\nAddress:\n   12 High Street\nName: john smith\nEmpty:\n\nname\tJohn Smith\nA: b\nOne two three four five six seven eight nine: ten"
+    causes = "Sales sincerely fell since prices rose in May. The storm led to long delays! It rained. Since noon\nProfit was due to luck; costs are down. As a result we stayed at home, however. Lights resulted  in a fire here. The cut triggered more cuts. Heat induced the failure of pumps."
+    docs = [(1, form), (2, causes), (3, ("alpha beta gamma delta epsilon zeta " * 20).strip()), (4, None), (5, "")]
+    for name in ("form_fields", "causal_links", "recommended_merges"):
+        query, sql = extraction.queries()[name]
+        of = lambda documents, query=query, name=name: query(spark, f"{tmp_path}/{name}")
+        rows = same_as_sql(spark, f"{tmp_path}/{name}", name, of, {"documents": (docs, "doc_id long, text string")}, sql)
+        if name == "form_fields":
+            assert {(r[1], r[3], r[4]) for r in rows} == {("name", 0.9, 0), ("age", 0.7, 1), ("city", 0.7, 2), ("address", 0.9, 5)}
+        if name == "causal_links":
+            assert len(rows) == 5 and (2, 1, "since", "prices rose in May", "Sales sincerely fell") in rows and (2, 2, "led to", "The storm", "long delays") in rows
