@@ -39,8 +39,8 @@ ORG_SUFFIXES = r"(?i),?\s+(Inc\.?|LLC|Ltd\.?|Corp\.?|Co\.?|PLC|LP|LLP|GmbH|AG|SA
 LEAST = 0.85
 #: Names of a group that one task holds at once.
 PART_NAMES = 4096
-#: Names of a label in the first batch.
-FIRST_BATCH = 512
+#: Names of a label in the first batch; characters of a name that is compared with others than its equals.
+FIRST_BATCH, LONGEST = 512, 120
 NAME = r"(?:[A-Z][a-z]{2,}|\b[A-Z]\.?) [A-Z][a-z]{2,}"
 #: Letters from the most frequent on; only how well keys divide depends on it.
 _FREQUENT = " etaoinsrhldcumfpgwybvkxjqz."
@@ -55,7 +55,9 @@ def organisation(name: Column) -> Column:
 
 
 def keys_of(name: str, least: float) -> set[str]:
-    """Keys of which two names that are the same have at least one in common."""
+    """Keys of which two names that are the same have at least one in common; none for what is too long for a name."""
+    if len(name) > LONGEST:
+        return set()
     found = {f"begin {name[:3]}"} if len(name) > 2 else set()
     parts = name.split()
     if len(parts) > 1:
@@ -71,7 +73,7 @@ def keys_of(name: str, least: float) -> set[str]:
     size = len(name)
     # Of Jaro-Winkler with two equal characters at the beginning: shared / size + shared / other >= share.
     share = 3 * (least - 0.2) / 0.8 - 1
-    for other in range(max(1, math.ceil(size * (share - 1) - 1e-9)), math.floor(size / (share - 1) + 1e-9) + 1):
+    for other in range(max(1, math.ceil(size * (share - 1) - 1e-9)), min(LONGEST, math.floor(size / (share - 1) + 1e-9)) + 1):
         shared = math.ceil(share * size * other / (size + other) - 1e-9)
         if shared > min(size, other):
             continue
@@ -267,7 +269,8 @@ def resolved(entities: DataFrame, clean=person, least: float = LEAST, part_names
     """label, name, leader of every distinct name of ``entities`` (label, name, confidence).
 
     Defined results: a name's confidence is its largest, ties go to the smaller cleaned name; null labels are a label, null names
-    no name; names of which cleaning leaves nothing are compared as they are; no names, no rows.
+    no name; names of which cleaning leaves nothing are compared as they are; names of more than ``LONGEST`` characters are
+    the same as equal ones only; no names, no rows.
     """
     surfaces = entities.where("name is not null").groupBy("label", "name").agg(F.max("confidence").cast("double").alias("confidence"))
     surfaces = surfaces.withColumn("label", F.coalesce("label", F.lit("\x00"))).withColumn("clean", clean(F.col("name")))

@@ -89,6 +89,8 @@ def test_titles_suffixes_initials_and_odd_rows(spark):
     organisations = {(r["label"], r["name"]): r["leader"] for r in resolution.resolved(frame, clean=resolution.organisation).collect()}
     assert organisations["o", "Google Inc."] == "Google"
     assert resolution.resolved(frame.limit(0)).count() == 0
+    long = spark.createDataFrame([("p", f"Aa{'b' * 50_000} Smith{k}", 1.0) for k in range(3)], "label string, name string, confidence double")
+    assert all(r["name"] == r["leader"] for r in resolution.resolved(long).collect())
 
 
 def test_names_across_first_letters_and_initials(spark):
