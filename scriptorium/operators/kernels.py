@@ -143,20 +143,28 @@ def line_filter(frames):
         yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_kept", "kept"])
 
 
-def best_window(needle: str, hay: str, step: int = 8) -> float:
-    """The best ratio of ``needle`` against windows of its length in ``hay``; 0 for needles under ten characters."""
+def best_window(needle: str, hay: str) -> float:
+    """The best ratio of ``needle`` against stretches of ``hay`` of 80, 100 and 120 % of its length; 0 for needles under ten characters.
+
+    Both are lowered and their blanks squeezed.  Stretches start a quarter of the needle apart, and the last one of each
+    length ends with the hay.
+    """
     from difflib import SequenceMatcher
 
+    needle, hay = " ".join(needle.lower().split()), " ".join(hay.lower().split())
     if len(needle) < 10 or not hay:
         return 0.0
     if needle in hay:
         return 1.0
-    matcher, best = SequenceMatcher(None, autojunk=False), 0.0
+    matcher, best, step = SequenceMatcher(None, autojunk=False), 0.0, max(1, len(needle) // 4)
     matcher.set_seq2(needle)
-    for at in range(0, max(1, len(hay) - len(needle) + 1), step):
-        matcher.set_seq1(hay[at : at + len(needle)])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
+    for share in (80, 100, 120):
+        size = max(1, len(needle) * share // 100)
+        last = max(0, len(hay) - size)
+        for at in (*range(0, last, step), last):
+            matcher.set_seq1(hay[at : at + size])
+            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
     return best
 
 

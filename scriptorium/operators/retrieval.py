@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
-from ..sources.tables import small, table
+from ..sources.tables import durable, small, table
 from . import kernels, search
 
 text = "text"
@@ -103,7 +103,8 @@ def rrf(lists: list[DataFrame], key: str, by: str, k: int = 60, top: int = 20, w
 def candidates(docs: DataFrame, benchmark: DataFrame, k: int = 20) -> DataFrame:
     """The best documents of each item with their source, language, and BM25 score scaled to 0 ... 1 within the item."""
     ranked = bm25(docs, benchmark, k).withColumn("score", F.round(minmax("score", "item_id"), 4))
-    return ranked.select("item_id", "doc_id", "score").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    found = ranked.select("item_id", "doc_id", "score").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    return durable(found, "candidates")  # few rows, and whoever filters them reads them more than once
 
 
 def adaptive_filter(rows: DataFrame, by: str, key: str = "doc_id", score: str = "score", least: float = 0.3, floor: int = 6) -> DataFrame:
@@ -130,9 +131,17 @@ def confidence(rows: DataFrame, by: str, source: str = "source", key: str = "doc
 
 
 def mrr(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Mean reciprocal rank (top 10) and precision at 1 of BM25, a document that holds the item's first 40 characters being right."""
+    """Mean reciprocal rank (top 10) and precision at 1 of BM25.
+
+    A document is right that holds at least half of the item's different runs of eight words; of an item with fewer words,
+    every word.
+    """
     hits = bm25(docs, benchmark, 10)
-    judged = hits.join(docs.select("doc_id", "text"), "doc_id").join(benchmark.select("item_id", F.substring("text", 1, 40).alias("probe")), "item_id").withColumn("right", F.contains("text", "probe"))
+    words = lambda c: T.words(F.col(c))
+    texts = hits.join(docs.select("doc_id", words("text").alias("d")), "doc_id").join(benchmark.select("item_id", words("text").alias("i")), "item_id")
+    runs = texts.select("item_id", "rank", "d", "i", F.array_distinct(T.ngrams(F.col("i"), 8)).alias("wanted"), T.ngrams(F.col("d"), 8).alias("held"))
+    right = F.when(F.size("i") >= 8, F.size(F.array_intersect("wanted", "held")) >= 0.5 * F.size("wanted")).otherwise(F.size(F.array_except("i", "d")) == 0)
+    judged = runs.select("item_id", "rank", right.alias("right"))
     best = judged.groupBy("item_id").agg(F.min(F.when(F.col("right"), F.col("rank"))).alias("first"))
     return best.agg(F.count("*").alias("items"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("first") == 1, 1.0).otherwise(0.0)), 6).alias("p_at_1"))
 
@@ -214,7 +223,9 @@ def queries() -> dict[str, tuple]:
         "retrieval_confidence": (ranked(lambda r: confidence(r, "item_id")), f"WITH {candidates_sql(bm)}, w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM cd) SELECT item_id, round(greatest(0, least(1, 0.5::DOUBLE * max(score) + 0.25::DOUBLE * (max(score) - avg(score)) + 0.25::DOUBLE * least(1, count(DISTINCT source) / 5))), 4) AS confidence FROM w WHERE r <= 5 GROUP BY 1"),
         "mrr": (
             two(mrr),
-            f"""WITH {bm}, j AS (SELECT h.item_id, min(rank) FILTER (WHERE contains(d.text, substr(q.text, 1, 40))) AS first FROM bm h JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = h.item_id WHERE rank <= 10 GROUP BY 1)
+            f"""WITH {bm}, w AS (SELECT h.item_id, h.rank, regexp_extract_all(lower(d.text), '[a-z0-9'']+') AS d, regexp_extract_all(lower(q.text), '[a-z0-9'']+') AS i FROM bm h JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = h.item_id WHERE rank <= 10),
+            g AS (SELECT item_id, rank, d, i, list_distinct(list_transform(range(1, len(i) - 6), lambda k: array_to_string(i[k : k + 7], ' '))) AS wanted, list_transform(range(1, len(d) - 6), lambda k: array_to_string(d[k : k + 7], ' ')) AS held FROM w),
+            j AS (SELECT item_id, min(rank) FILTER (WHERE CASE WHEN len(i) >= 8 THEN len(list_intersect(wanted, held)) >= 0.5 * len(wanted) ELSE list_has_all(d, i) END) AS first FROM g GROUP BY 1)
             SELECT count(*) AS items, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first = 1 THEN 1 ELSE 0 END), 6) AS p_at_1 FROM j""",
         ),
         "hashed_vectors": (on("documents", hashed_vectors), f"WITH {terms} SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INT AS slot, sum(tf)::BIGINT AS n FROM c GROUP BY 1, 2"),

@@ -25,7 +25,7 @@ def evidence(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def work(frames):
         for frame in frames:
-            frame["ratio"] = [round(kernels.best_window(n, h or "", 24), 6) for n, h in zip(frame["needle"], frame["hay"], strict=True)]
+            frame["ratio"] = [round(kernels.best_window(n, h or ""), 6) for n, h in zip(frame["needle"], frame["hay"], strict=True)]
             yield frame[["item_id", "doc_id", "ratio"]]
 
     return pairs.select("item_id", "doc_id", "needle", "hay").mapInPandas(work, "item_id long, doc_id long, ratio double")
