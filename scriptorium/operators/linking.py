@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
-from ..sources.tables import small, table
+from ..sources.tables import durable, small, table
 from . import dedupe
 from .ordering import placed
 
@@ -21,9 +21,14 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def cooccurrence(docs: DataFrame, least: int = 2, pattern: str = ENTITY) -> DataFrame:
-    """Pairs of entities in the same line, in at least ``least`` lines."""
+    """Pairs of entities in the same line, in at least ``least`` lines.
+
+    Both of a pair stand in so many lines themselves, so rarer entities go before lines are paired.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     e = lines.select("doc_id", "line", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(pattern), F.lit(0)), F.lower))).alias("entity"))
+    e = durable(e, "line-entities")
+    e = durable(e.join(e.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least), "entity", "left_semi"), "line-entities")
     a, b = e.alias("a"), e.alias("b")
     pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.entity") < F.col("b.entity")))
     return pairs.groupBy(F.col("a.entity").alias("entity_a"), F.col("b.entity").alias("entity_b")).agg(F.count("*").alias("n"), F.countDistinct("a.doc_id").alias("docs")).where(F.col("n") >= least)

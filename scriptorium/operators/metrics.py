@@ -60,16 +60,26 @@ def weekly(events: DataFrame, first_day: int = 0) -> DataFrame:
     return rows.groupBy("week").agg(F.min("day").alias("from_day"), F.max("day").alias("to_day"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def percentiles(events: DataFrame) -> DataFrame:
-    """Interpolated percentiles and spread of each event type."""
-    return events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.stddev_samp("value"), 6).alias("deviation"))
-
-
 def _sorted_places(events: DataFrame) -> DataFrame:
     rows = placed(events.select("event_id", "event_type", "value").where("value is not null"), ["event_type"], ["value", "event_id"])
     return rows.select("event_id", "event_type", "value", (F.col("place") - 1).alias("place"), F.col("group_rows").alias("n"))
 
 
+def percentiles(events: DataFrame) -> DataFrame:
+    """Interpolated percentiles and spread of each event type; the values between which to interpolate come from exact places."""
+    stats = events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("deviation"))
+    rows = _sorted_places(events)
+
+    def between(q: float):
+        at = q * (F.col("n") - 1)
+        pick = lambda place: F.max(F.when(F.col("place") == place, F.col("value")))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        return F.round(low + (high - low) * F.max(at - F.floor(at)), 6)
+
+    picked = rows.groupBy(F.col("event_type").alias("_type")).agg(between(0.5).alias("p50"), between(0.9).alias("p90"), between(0.95).alias("p95"))
+    return stats.join(picked, F.col("event_type").eqNullSafe(F.col("_type")), "left").select("event_type", "low", "high", "mean", "p50", "p90", "p95", "deviation")
+
+
 def nearest_rank(events: DataFrame) -> DataFrame:
     """The percentiles that pick one sorted value: s[n//2], s[int(n*.95)] and s[int(.95*(n-1))]; averages skip zeros."""
     rows = _sorted_places(events)
