@@ -59,10 +59,14 @@ def graph_status(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
 
 
-def entity_type_conflicts(docs: DataFrame) -> DataFrame:
-    """Entities that carry more than one label (here: stand in texts of several languages), with their labels in order."""
-    labelled = docs.select(F.col("lang").alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("entity"))
-    return labelled.groupBy(F.lower("entity").alias("entity")).agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.countDistinct("label").alias("n")).where("n > 1")
+def entity_type_conflicts(mentions: DataFrame) -> DataFrame:
+    """entity (lowered), labels in order, n: entities of the mentions (label, entity) that carry more than one label."""
+    return mentions.groupBy(F.lower("entity").alias("entity")).agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.countDistinct("label").alias("n")).where("n > 1")
+
+
+def labelled_mentions(docs: DataFrame, label: str = "lang") -> DataFrame:
+    """Mentions with a column of their document as the label."""
+    return docs.select(F.col(label).alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("entity"))
 
 
 def property_facts(events: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def queries() -> dict[str, tuple]:
             SELECT item_id, doc_id, support, round(0.7::DOUBLE * score + 0.3::DOUBLE * support, 6) AS score FROM y""",
         ),
         "graph_status": (lambda s, d: graph_status(docs(s, d), edges(s, d)), f"WITH {e}, n AS (SELECT DISTINCT doc_id, source, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS entity FROM documents) SELECT source, count(*) AS mentions, count(DISTINCT entity) AS entities, (SELECT count(*) FROM e) AS edges FROM n GROUP BY 1"),
-        "entity_type_conflicts": (lambda s, d: entity_type_conflicts(docs(s, d)), f"WITH n AS (SELECT lang, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS entity FROM documents) SELECT entity, string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels, count(DISTINCT lang) AS n FROM n GROUP BY 1 HAVING count(DISTINCT lang) > 1"),
+        "entity_type_conflicts": (lambda s, d: entity_type_conflicts(labelled_mentions(docs(s, d))), f"WITH n AS (SELECT lang, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS entity FROM documents) SELECT entity, string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels, count(DISTINCT lang) AS n FROM n GROUP BY 1 HAVING count(DISTINCT lang) > 1"),
         "numeric_conflicts": (facts(numeric_conflicts), rf"WITH {f}, w AS (SELECT subject, predicate, nullif(array_to_string(regexp_extract_all(value, '\d+(?:\.\d+)?'), ','), '') AS v FROM f), {pairs}"),
         "duplicate_facts": (facts(duplicate_facts), f"WITH {f}, w AS (SELECT subject, predicate, value AS v FROM f), {pairs}"),
         "first_facts": (facts(first_facts), f"WITH {f} SELECT subject, predicate, value, min(fact_id) AS fact_id, count(*) AS n FROM f GROUP BY 1, 2, 3"),
