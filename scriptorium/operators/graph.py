@@ -70,9 +70,12 @@ def labelled_mentions(docs: DataFrame, label: str = "lang") -> DataFrame:
 
 
 def property_facts(events: DataFrame) -> DataFrame:
-    """fact_id, subject, predicate, value, confidence: the JSON properties of events as facts about their users."""
-    pairs = events.select("event_id", "user_id", F.explode(F.from_json("props", "map<string,string>")).alias("predicate", "value"))
-    return pairs.select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("subject"), F.upper("predicate").alias("predicate"), F.trim(F.lower("value")).alias("value"))
+    """fact_id, subject, predicate, value, confidence: the JSON properties of events as facts about their users.
+
+    The table has no confidences, so the event's own value stands in.
+    """
+    pairs = events.select("event_id", "user_id", F.coalesce("value", F.lit(0.0)).alias("confidence"), F.explode(F.from_json("props", "map<string,string>")).alias("predicate", "value"))
+    return pairs.select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("subject"), F.upper("predicate").alias("predicate"), F.trim(F.lower("value")).alias("value"), "confidence")
 
 
 def _different_pairs(facts: DataFrame, value) -> DataFrame:
@@ -93,9 +96,10 @@ def duplicate_facts(facts: DataFrame) -> DataFrame:
     return _different_pairs(facts, F.col("value"))
 
 
-def first_facts(facts: DataFrame) -> DataFrame:
-    """One fact for each (subject, predicate, value), the first."""
-    return facts.groupBy("subject", "predicate", "value").agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("n"))
+def surest_facts(facts: DataFrame) -> DataFrame:
+    """One fact for each (subject, predicate, value): the surest, of equally sure ones the first; no confidence counts as 0."""
+    order = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("less"), "fact_id")
+    return facts.groupBy("subject", "predicate", "value").agg(F.min_by("fact_id", order).alias("fact_id"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.count("*").alias("n"))
 
 
 def compared_fields(facts: DataFrame) -> DataFrame:
@@ -119,8 +123,8 @@ def queries() -> dict[str, tuple]:
         le AS (SELECT DISTINCT doc_id, line, lower(unnest(regexp_extract_all(s, '{ENTITY}'))) AS entity FROM l),
         e AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n FROM le a JOIN le b ON a.doc_id = b.doc_id AND a.line = b.line AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2),
         both_ways AS (SELECT entity_a AS u, entity_b AS v, n FROM e UNION ALL SELECT entity_b, entity_a, n FROM e)"""
-    f = """k AS (SELECT event_id, user_id, props, unnest(json_keys(props)) AS p FROM events),
-        f AS (SELECT event_id AS fact_id, user_id AS subject, upper(p) AS predicate, trim(lower(json_extract_string(props, '$."' || p || '"'))) AS value FROM k)"""
+    f = """k AS (SELECT event_id, user_id, props, coalesce(value, 0) AS confidence, unnest(json_keys(props)) AS p FROM events),
+        f AS (SELECT event_id AS fact_id, user_id AS subject, upper(p) AS predicate, trim(lower(json_extract_string(props, '$."' || p || '"'))) AS value, confidence FROM k)"""
     pairs = "c AS (SELECT subject, predicate, v, count(*) AS n FROM w WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT subject, predicate, sum(n)::BIGINT AS facts, count(*) AS different, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS pairs FROM c GROUP BY 1, 2 HAVING count(*) > 1"
     return {
         "sections_for_entities": (
@@ -145,7 +149,7 @@ def queries() -> dict[str, tuple]:
         "entity_type_conflicts": (lambda s, d: entity_type_conflicts(labelled_mentions(docs(s, d))), f"WITH n AS (SELECT lang, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS entity FROM documents) SELECT entity, string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels, count(DISTINCT lang) AS n FROM n GROUP BY 1 HAVING count(DISTINCT lang) > 1"),
         "numeric_conflicts": (facts(numeric_conflicts), rf"WITH {f}, w AS (SELECT subject, predicate, nullif(array_to_string(regexp_extract_all(value, '\d+(?:\.\d+)?'), ','), '') AS v FROM f), {pairs}"),
         "duplicate_facts": (facts(duplicate_facts), f"WITH {f}, w AS (SELECT subject, predicate, value AS v FROM f), {pairs}"),
-        "first_facts": (facts(first_facts), f"WITH {f} SELECT subject, predicate, value, min(fact_id) AS fact_id, count(*) AS n FROM f GROUP BY 1, 2, 3"),
+        "first_facts": (facts(surest_facts), f"WITH {f} SELECT subject, predicate, value, arg_min(fact_id, {{'a': -confidence, 'b': fact_id}}) AS fact_id, max(confidence) AS confidence, count(*) AS n FROM f GROUP BY 1, 2, 3"),
         "compared_fields": (
             facts(compared_fields),
             f"""WITH {f}, s AS (SELECT predicate, value, count(DISTINCT subject) AS subjects FROM f GROUP BY 1, 2), v AS (SELECT predicate, count(DISTINCT subject) AS total FROM f GROUP BY 1)
