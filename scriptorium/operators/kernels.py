@@ -143,11 +143,11 @@ def line_filter(frames):
         yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_kept", "kept"])
 
 
-def best_window(needle: str, hay: str) -> float:
+def best_window(needle: str, hay: str, good: float = 0.95) -> float:
     """The best ratio of ``needle`` against stretches of ``hay`` of 80, 100 and 120 % of its length; 0 for needles under ten characters.
 
-    Both are lowered and their blanks squeezed.  Stretches start a quarter of the needle apart, and the last one of each
-    length ends with the hay.
+    Both are lowered and their blanks squeezed.  Stretches start a quarter of the needle apart, the last one of each length
+    ends with the hay, and a ratio of ``good`` is good enough.
     """
     from difflib import SequenceMatcher
 
@@ -158,13 +158,15 @@ def best_window(needle: str, hay: str) -> float:
         return 1.0
     matcher, best, step = SequenceMatcher(None, autojunk=False), 0.0, max(1, len(needle) // 4)
     matcher.set_seq2(needle)
-    for share in (80, 100, 120):
+    for share in (100, 80, 120):
         size = max(1, len(needle) * share // 100)
         last = max(0, len(hay) - size)
         for at in (*range(0, last, step), last):
             matcher.set_seq1(hay[at : at + size])
             if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
                 best = max(best, matcher.ratio())
+                if best >= good:
+                    return best
     return best
 
 

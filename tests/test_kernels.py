@@ -44,7 +44,8 @@ def test_windows_and_clusters():
         needle, hay = " ".join(needle.split()), " ".join((hay + needle[5:] + hay).split())
         ratios = [difflib.SequenceMatcher(None, hay[at : at + size], needle, autojunk=False).ratio() for size in (len(needle) * p // 100 for p in (80, 100, 120)) for at in {*range(0, max(0, len(hay) - size), max(1, len(needle) // 4)), max(0, len(hay) - size)}]
         want = 0.0 if len(needle) < 10 else 1.0 if needle in hay else max(ratios)
-        assert kernels.best_window(needle, hay) == want
+        assert kernels.best_window(needle, hay, 1.0) == want
+        assert kernels.best_window(needle, hay) >= min(want, 0.95)
     assert kernels.best_window("short", "short") == 0.0
     assert kernels.centroid_clusters(np.array([[1, 0], [0.9, 0.1], [0, 1], [-1, 0]], float), 0.8, 2) == [0, 0, 1, 1]
 
