@@ -165,6 +165,14 @@ def test_urls_like_brute_force(spark):
     assert got == {i: slow_verdict(u, rules) for i, u in enumerate(urls)}
 
 
+def test_the_rules_are_those_of_the_contract(spark, tmp_path):
+    """Each rule with its word: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    wanted = [("a.com/en/1", "com/en/", "block"), ("example.com/en/71", "example.com/en/7", "allow"), ("a.net/de/1", "net/de/", "allow"), ("example.net/de/1", "net/de/", "allow"), ("www.example.net/de/80", "example.net/de/8", "block"), ("a.org/es/", "org/es/", "block"), ("a.org/de/", None, "allow")]
+    spark.createDataFrame([(i, f"https://{u}") for i, (u, _, _) in enumerate(wanted)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, verdict) for i, (_, rule, verdict) in enumerate(wanted)}
+
+
 def test_urls_without_rules_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/"), (1, "http://a.com/en/")], "page_id long, url string")
     none = spark.createDataFrame([], "verdict string, host string, path string")
