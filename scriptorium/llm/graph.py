@@ -8,30 +8,28 @@ from pyspark.sql import functions as F
 from .common import durable, scratch
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    """Number of edges and two sums of their hashes: equal for equal sets."""
-    h = F.xxhash64("hi", "lo")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(0x3FFFFFFF))).first())
+def _targets(edges: DataFrame) -> DataFrame:
+    """``u`` of every node of hi > lo edges, and the least (``m``) and largest (``high``) of what it hangs on: the other end
+    of edges whose ``hi`` it is, itself where it is a ``lo``."""
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("lo").alias("v"))))
+    return edges.select(ends.alias("e")).groupBy("e.u").agg(F.min("e.v").alias("m"), F.max("e.v").alias("high"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every node that has an edge (columns a, b); the component is its smallest node.
 
-    Each round joins every node's neighbours to the smallest of them; rounds grow with the logarithm of the nodes.  Edges
-    with a null end and loops are ignored; repeated edges count once; no edges give no rows.
+    Each round joins every node's neighbours to the smallest of them; rounds grow with the logarithm of the nodes.  They
+    end when every node hangs on one node only, which hangs on itself.  Edges with a null end and loops are ignored;
+    repeated edges count once; no edges give no rows.
     """
     with scratch(edges.sparkSession):
-        now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-        seen = _print_of(now)
+        now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "edges")
         while True:
-            both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+            least = durable(_targets(now), "targets")
+            if least.where("m <> high").isEmpty():
+                return durable(least.select(F.col("u").alias("id"), F.col("m").alias("component")), "components", keep=True)
+            # Only from its smaller end does an edge take its larger end to that end's least neighbour.
+            large = durable(now.join(least.select("u", "m"), now["lo"] == least["u"]).select("hi", F.col("m").alias("lo")), "large-stars")
             smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
             moved = large.join(smallest, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             now = durable(moved.select("e.hi", "e.lo").where("hi <> lo").distinct(), "stars")
-            after = _print_of(now)
-            if after == seen:
-                found = now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
-                return durable(found, "components", keep=True)
-            seen = after

@@ -126,8 +126,8 @@ def estimated_similarity(differing: int) -> float:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * differing / SKETCH_BITS))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """The pairs a, b whose sketches differ in ``most`` bits at most and whose full sets have 100 * intersection >= percent * union."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +144,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 if keep:
                     yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep))], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
@@ -205,34 +206,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, only: Da
     signatures = signature_table(docs, width)
     signed = durable(signatures if only is None else signatures.join(only.select("doc_id").distinct(), "doc_id", "left_semi"), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
-    classes = durable(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    first = F.min(F.struct("doc_id", "bands", "sketch")).alias("first")
+    classes = durable(full.groupBy("fp1", "fp2", "n").agg(first, F.count("*").alias("rows")).select("fp1", "fp2", "n", F.col("first.doc_id").alias("rep"), "first.bands", "first.sketch", "rows"), "classes")
     with scratch(docs.sparkSession):
-        found = _components(docs, full, classes, width, percent)
+        found = _components(docs, classes, width, percent)
     own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = own.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _components(docs: DataFrame, full: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """id and component of the classes' representatives that are linked to others."""
-    reps = full.join(classes.select("fp1", "fp2", "n", F.col("rep").alias("doc_id")), ["fp1", "fp2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = durable(reps.select(F.col("doc_id").alias("id"), "bands", "sketch"), "representatives")
+    reps = durable(classes.select(F.col("rep").alias("id"), "bands", "sketch").dropDuplicates(["id"]), "representatives")
 
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     members = durable(banded.join(buckets.select("key", "pivot"), "key"), "members")
-    wanted = members.select("id").distinct()
-    texts = durable(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    wanted = reps.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi")
+    texts = durable(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "text", "sketch").dropDuplicates(["doc_id"]), "candidate-texts")
 
-    sketch_of = lambda name: reps.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     most = largest_difference(percent / 100 - MARGIN)
-    stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b")
-    links = durable(_confirmed(stars, texts, width, percent), "links")
+    # A document meets no more pivots than bands, so pairs may be dealt by it at once, for both the distinct and the join.
+    stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).repartition("a").distinct()
+    links = durable(_confirmed(stars, texts, width, percent, most), "links")
     found = connected_components(links)
 
     # What a bucket holds of several components is compared across them, where rare shingles meet.
-    labelled = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = durable(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ids = durable(labelled.join(mixed, "key", "left_semi").select("id", "component").distinct(), "open")
     open_texts = texts.join(open_ids, texts["doc_id"] == open_ids["id"], "left_semi")
@@ -245,9 +245,9 @@ def _components(docs: DataFrame, full: DataFrame, classes: DataFrame, width: int
     # At the rarest shingle two sets share, all that they share stands from there on, in either: it must be enough.
     enough = (100 + percent) * F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     across = left.join(right, "shingle").where(apart & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = durable(_confirmed(across, texts, width, percent), "more-links")
+    more = durable(_confirmed(across, texts, width, percent, most), "more-links")
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        found = connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     return durable(found, "components", keep=True)
 
 

@@ -182,3 +182,15 @@ def test_components_of_a_long_path_and_loops(spark):
     got = {x.id: x.component for x in graph.connected_components(spark.createDataFrame(edges, schema)).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert graph.connected_components(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_components_need_no_round_to_see_that_they_are_done(spark, monkeypatch):
+    """Stars are components as they are; a round that changes nothing is a dozen shuffles for nothing."""
+    written = []
+    monkeypatch.setattr(graph, "durable", lambda df, tag, keep=False, f=graph.durable: written.append(tag) or f(df, tag, keep))
+    stars = [(1, i) for i in range(2, 9)] + [(i, 10) for i in range(11, 15)] + [(3, 1)]
+    for edges, rounds in ((stars, 0), ([*stars, (2, 10)], 1)):
+        written.clear()
+        got = {x.id: x.component for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == dict.fromkeys(range(1, 9), 1) | dict.fromkeys(range(10, 15), 10 if not rounds else 1)
+        assert written.count("stars") <= rounds * 2
