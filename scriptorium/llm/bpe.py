@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table, tune
 
-#: Pieces whose ids a worker remembers; at the bound the memory starts afresh.
+#: Pieces whose ids a worker remembers; at the bound those go that were not asked for since it was last reached.
 CACHE_PIECES = 150_000
 CACHE_PAIRS = 300_000
+#: Pieces that begin with the same bytes grow from one table of them.
+HEAD, CACHE_HEADS = 6, 60_000
 
 
 class Vocabulary:
@@ -36,13 +38,12 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks), default=1)
-        # A trie of the tokens read backwards: a state maps a byte to the next state, and -1 to the token that ends there.
-        self.trie: dict = {}
-        for token, rank in ranks.items():
-            state = self.trie
-            for byte in reversed(token):
-                state = state.setdefault(byte, {})
-            state[-1] = rank
+        # An automaton over texts: a state is the longest end of what was read that begins a token, and knows the longest
+        # token that ends there. Steps (of a state and a byte) are worked out when they are first taken.
+        self.begins = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        self.states, self.state_of, self.longest_at, self.steps = [b""], {b"": 0}, [-1], {}
+        # The next shorter token at a token's end.
+        self.shorter = [self._end_token(token, 1) if token else -1 for token in self.bytes_of]
         self.size_of = list(map(len, self.bytes_of))
         # The two tokens whose merge makes each longer one.
         self.halves = [tuple(self.merge(t, 2)) if len(t) > 1 else None for t in self.bytes_of]
@@ -53,6 +54,25 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
+    def _end_token(self, text: bytes, start: int = 0) -> int:
+        """The longest token that is an end of ``text[start:]``, or -1."""
+        return next((rank for at in range(start, len(text)) if (rank := self.ranks.get(text[at:])) is not None), -1)
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte; there are no more states than beginnings of tokens."""
+        text = self.states[state] + bytes([byte])
+        while text and text not in self.begins:
+            text = text[1:]
+        found = self.state_of.get(text)
+        if found is None:
+            found = self.state_of[text] = len(self.states)
+            self.states.append(text)
+            self.longest_at.append(self._end_token(text))
+        if len(self.steps) >= CACHE_PAIRS:
+            self.steps.clear()
+        self.steps[state << 8 | byte] = found
+        return found
+
     def merge(self, piece: bytes, down_to: int = 1) -> list[int]:
         """Plain merging, lowest rank first and leftmost among equals, until ``down_to`` parts are left."""
         parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
@@ -98,36 +118,49 @@ class Vocabulary:
 class PrefixTable:
     """The last token of each prefix of ``piece``: ``last[i]`` belongs to its first ``i + 1`` bytes."""
 
+    __slots__ = ("_read", "_state", "last", "piece", "vocabulary")
+
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
         self.vocabulary, self.piece, self.last = vocabulary, b"", []
+        self._read, self._state = 0, 0  # the automaton's state after so many bytes
         self.append(piece)
 
     def _extend(self, until: int) -> None:
         """Fill the entries up to ``until``: the longest suffix token that may follow what stands before it is the last one."""
         v, piece, last = self.vocabulary, self.piece, self.last
-        trie, size_of, pairs, fits = v.trie, v.size_of, v._pairs, v.fits
-        for end in range(len(last), until):
-            state, at, found = trie, end, []
-            while at >= 0 and (state := state.get(piece[at])) is not None:
-                if -1 in state:
-                    found.append(state[-1])
-                at -= 1
-            while True:
-                token = found.pop()
-                before = end - size_of[token]
-                if before < 0 or (known := pairs.get(last[before] << 32 | token)) or known is None and fits(last[before], token):
-                    break
+        steps, longest_at, shorter, size_of, pairs, fits = v.steps, v.longest_at, v.shorter, v.size_of, v._pairs, v.fits
+        at, state = len(last), self._state
+        if self._read != at:  # no state reaches further back than the longest token
+            state = 0
+            for byte in piece[max(0, at - v.longest) : at]:
+                state = v.step(state, byte)
+        for end in range(at, until):
+            byte = piece[end]
+            after = steps.get(state << 8 | byte)
+            state = v.step(state, byte) if after is None else after
+            token = longest_at[state]
+            while (before := end - size_of[token]) >= 0 and not ((known := pairs.get(last[before] << 32 | token)) or known is None and fits(last[before], token)):
+                token = shorter[token]
             last.append(token)
+        self._read, self._state = until, state
 
     def append(self, more: bytes) -> None:
         self.piece += more
         self._extend(len(self.piece))
 
+    def grown(self, more: bytes) -> PrefixTable:
+        """A table of its own for this piece and ``more``."""
+        table = object.__new__(PrefixTable)
+        table.vocabulary, table.piece, table.last, table._read, table._state = self.vocabulary, self.piece, self.last.copy(), self._read, self._state
+        table.append(more)
+        return table
+
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace bytes ``start:end``; returns how many entries had to be worked out again."""
         old = self.last
         self.piece = self.piece[:start] + new + self.piece[end:]
         self.last = old[:start]
+        self._read = -1
         shift, settled, done = end - start - len(new), 0, 0
         fresh = start + len(new)
         while len(self.last) < len(self.piece):
@@ -135,6 +168,7 @@ class PrefixTable:
             # Entries look back one longest token at most; so many equal ones in a row settle all that follow.
             if settled >= self.vocabulary.longest:
                 self.last.extend(old[at + shift :])
+                self._read = -1
                 break
             self._extend(at + 1)
             done += 1
@@ -144,10 +178,11 @@ class PrefixTable:
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes (of all, if not given)."""
         end, found = len(self.last) if end is None else end, []
+        last, size_of = self.last, self.vocabulary.size_of
         while end > 0:
-            token = self.last[end - 1]
+            token = last[end - 1]
             found.append(token)
-            end -= len(self.vocabulary.bytes_of[token])
+            end -= size_of[token]
         return found[::-1]
 
 
@@ -160,6 +195,27 @@ def _loose(text: str) -> bool:
     return "  " in text or text[:1] == " " or text[-1:] == " " or any(w in text and (f" {w}" in text or f"{w} " in text) for w in _SPACES)
 
 
+class Memory:
+    """Values worked out once for keys in use: full, the new half takes the old one's place, and what is asked for comes back."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.work = work
+
+    def miss(self, key: str) -> bytes:
+        """The value of a key that ``new`` has not."""
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(key) <= 64:
+            if len(self.new) >= CACHE_PIECES:
+                self.old = self.new.copy()
+                self.new.clear()  # the same object, as callers hold on to it
+            self.new[key] = value
+        return value
+
+
 class Encoder:
     """Texts to ids piece by piece: each match of ``pattern`` is encoded by itself.
 
@@ -170,37 +226,39 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.cuts_at_blanks = pattern == default_tokenizer()[1]
         self.vocabulary, self.split = vocabulary, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self._pieces: dict[str, bytes] = {}
-        self._stretches: dict[str, bytes] = {}
+        self._heads: dict[bytes, PrefixTable] = {}
+        self._pieces, self._stretches = Memory(self._piece), Memory(self._stretch)
 
     @staticmethod
     def _struct(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    @staticmethod
-    def _keep(memory: dict[str, bytes], key: str, value: bytes) -> bytes:
-        if len(key) <= 64:
-            if len(memory) >= CACHE_PIECES:
-                memory.clear()
-            memory[key] = value
-        return value
-
     def _piece(self, piece: str) -> bytes:
-        return self._keep(self._pieces, piece, self._struct(PrefixTable(self.vocabulary, piece.encode()).ids()))
+        known = piece[:1] == " " and self._stretches.new.get(piece[1:])
+        if known:
+            return known
+        data = piece.encode()
+        head = self._heads.get(start := data[:HEAD])
+        if head is None:
+            if len(self._heads) >= CACHE_HEADS:
+                self._heads.clear()
+            head = self._heads[start] = PrefixTable(self.vocabulary, start)
+        return self._struct(head.grown(data[HEAD:]).ids())
 
     def _pack(self, text: str) -> bytes:
-        known, work = self._pieces.get, self._piece
+        known, work = self._pieces.new.get, self._pieces.miss
         return b"".join([known(piece) or work(piece) for piece in self.split(text)])
 
     def _stretch(self, stretch: str) -> bytes:
-        return self._keep(self._stretches, stretch, self._pack(" " + stretch))
+        # A blank and letters are one match of the public pattern.
+        return self._piece(" " + stretch) if stretch.isascii() and stretch.isalpha() else self._pack(" " + stretch)
 
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text or not self.cuts_at_blanks or _loose(text):
             return self._pack(text or "")
         head, *rest = text.split(" ")
-        known, work = self._stretches.get, self._stretch
+        known, work = self._stretches.new.get, self._stretches.miss
         return self._pack(head) + b"".join([known(s) or work(s) for s in rest])
 
     def encode(self, text: str | None) -> list[int]:

@@ -131,6 +131,23 @@ def test_appends_and_edits_like_fresh_tables(coder):
     assert table.edit(100, 101, b"x") < 400  # far from all 26,000 entries
 
 
+def test_each_byte_takes_one_step_and_what_is_in_use_stays_known(coder, monkeypatch):
+    """An entry asks for one step and little more than one token, however many tokens end there; a full memory keeps what is used."""
+    own = tiktoken.Encoding("own", pat_str=bpe.default_tokenizer()[1], mergeable_ranks=coder.vocabulary.ranks, special_tokens={})
+    taken = []
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    monkeypatch.setattr(bpe.Encoder, "_piece", lambda self, piece, f=bpe.Encoder._piece: taken.append(piece) or f(self, piece))
+    fresh = bpe.Encoder(coder.vocabulary, bpe.default_tokenizer()[1])
+    r = random.Random(8)
+    for _ in range(400):
+        text = "so common, " + "".join(r.choice("abcdeth") for _ in range(9)) + " common," + "".join(r.choice("ab, th\n'") for _ in range(20)) + " common"
+        assert fresh.encode(text) == own.encode_ordinary(text)
+    assert taken.count(" common") <= 2
+    v = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"a" * n: 254 + n for n in range(2, 40)})
+    assert [v.shorter[254 + n] for n in (2, 3, 39)] == [97, 256, 292]
+    assert v.longest_at[v.step(v.step(0, 97), 97)] == 256 and len(v.states) == 3
+
+
 def test_encoding_of_tables(spark, coder):
     rows = [(1, "Hello there", 1), (1, "Hello there", 1), (2, None, 1), (None, "", 1), (3, "x" * 200_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
