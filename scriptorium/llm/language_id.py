@@ -143,9 +143,11 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Mode
     found: dict[int, dict[str, list[int]]] = {}
     totals: dict[int, list[int]] = {}
     at = {lang: i for i, lang in enumerate(langs)}
-    for r in top.select("lang", "size", "entry", "n", "total").orderBy("size", "entry", "lang").collect():
-        found.setdefault(r["size"], {}).setdefault(r["entry"], [0] * len(langs))[at[r["lang"]]] = r["n"]
-        totals.setdefault(r["size"], [0] * len(langs))[at[r["lang"]]] = r["total"]
+    # As Arrow, and not a Python object for each row, of which there may be MAX_ENTRIES.
+    for batch in top.select("lang", "size", "entry", "n", "total").orderBy("size", "entry", "lang").toArrow().to_batches(max_chunksize=10_000):
+        for lang, size, entry, n, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(size, {}).setdefault(entry, [0] * len(langs))[at[lang]] = n
+            totals.setdefault(size, [0] * len(langs))[at[lang]] = total
     return Model(langs, found, totals)
 
 

@@ -13,6 +13,9 @@
    are each copy's own changes, and the group does not multiply.
 5. Components are found by star contraction and carried back to all documents.
 
+Two versions of the documents' texts are worked on together: a column ``version`` keeps apart what is compared, while ids,
+and so components, are those of the documents.
+
 Two sets of similarity s miss each other in all bands with probability (1 - s**4)**32: 6e-11 at 0.85, 5e-8 at 0.8.
 
 Words are runs without the six ASCII blanks, A-Z lowered.  Defined results: a document with fewer words than a shingle
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,11 @@ def estimated_similarity(differing: int) -> float:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * differing / SKETCH_BITS))
 
 
+def _version(rows: DataFrame) -> list[str]:
+    """The column that tells versions of a document's text apart, if there are any."""
+    return [c for c in rows.columns if c == "version"]
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, most: int) -> DataFrame:
     """The pairs a, b whose sketches differ in ``most`` bits at most and whose full sets have 100 * intersection >= percent * union."""
 
@@ -144,8 +151,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, mos
                 if keep:
                     yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep))], ["a", "b"])
 
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most)
+    version = _version(texts)
+    a, b = (texts.select(F.col("doc_id").alias(x), *version, F.col("text").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(a, ["a", *version]).join(b, ["b", *version]).where(estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
@@ -173,8 +181,9 @@ def rarity(texts: DataFrame, width: int) -> np.ndarray:
 
 def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """id, n, ``shingle`` and its ``place`` (from 0), a row for each of a text's rarest shingles, rarest first:
-    n - ceil(percent * n / 100) + 1 of them."""
+    n - ceil(percent * n / 100) + 1 of them; and the version, if texts have one."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
+    version = _version(texts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -191,23 +200,26 @@ def rare_shingles(texts: DataFrame, counts: np.ndarray, width: int, percent: int
                 if rows:
                     sizes = [len(x) for x in found]
                     repeat, places = np.repeat(rows, sizes), np.concatenate([np.arange(x, dtype=np.int64) for x in sizes])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(repeat)), pa.array(np.diff(cuts)[repeat]), pa.array(np.concatenate(found).view(np.int64)), pa.array(places)], ["id", "n", "shingle", "place"])
+                    of = [part.column(c).take(pa.array(repeat)) for c in ("doc_id", *version)]
+                    yield pa.RecordBatch.from_arrays([*of, pa.array(np.diff(cuts)[repeat]), pa.array(np.concatenate(found).view(np.int64)), pa.array(places)], ["id", *version, "n", "shingle", "place"])
 
-    return texts.select("doc_id", "text").mapInArrow(work, "id long, n long, shingle long, place long")
+    kinds = ["id long", *(f"{c} int" for c in version), "n long", "shingle long", "place long"]
+    return texts.select("doc_id", *version, "text").mapInArrow(work, ", ".join(kinds))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row given.
+def _classes(signed: DataFrame) -> DataFrame:
+    """The documents with the same set: fp1, fp2, n, their number (``rows``), and the representative with its signature."""
+    full, version = signed.where("n > 0 and doc_id is not null"), _version(signed)
+    first = F.min(F.struct("doc_id", "bands", "sketch")).alias("first")
+    return durable(full.groupBy(*version, "fp1", "fp2", "n").agg(first, F.count("*").alias("rows")).select(*version, "fp1", "fp2", "n", F.col("first.doc_id").alias("rep"), "first.bands", "first.sketch", "rows"), "classes")
 
-    With ``only`` (a doc_id column), other documents take no part and give no row.
-    """
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row given."""
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signatures = signature_table(docs, width)
-    signed = durable(signatures if only is None else signatures.join(only.select("doc_id").distinct(), "doc_id", "left_semi"), "signatures")
-    full = signed.where("n > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "bands", "sketch")).alias("first")
-    classes = durable(full.groupBy("fp1", "fp2", "n").agg(first, F.count("*").alias("rows")).select("fp1", "fp2", "n", F.col("first.doc_id").alias("rep"), "first.bands", "first.sketch", "rows"), "classes")
+    signed = durable(signature_table(docs, width), "signatures")
+    classes = _classes(signed)
     with scratch(docs.sparkSession):
         found = _components(docs, classes, width, percent)
     own = signed.join(classes.where("rows > 1").select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
@@ -215,36 +227,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, only: Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """id and component of the classes' representatives that are linked to others."""
-    reps = durable(classes.select(F.col("rep").alias("id"), "bands", "sketch").dropDuplicates(["id"]), "representatives")
+def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, equal: DataFrame | None = None) -> DataFrame:
+    """id and component of the classes' representatives that are linked to others, and of the ends of ``equal`` (a, b)."""
+    version = _version(docs)
+    node, bucket = ["id", *version], ["key", *version]
+    reps = durable(classes.select(F.col("rep").alias("id"), *version, "bands", "sketch").dropDuplicates(node), "representatives")
 
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = durable(banded.join(buckets.select("key", "pivot"), "key"), "members")
-    wanted = reps.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi")
-    texts = durable(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "text", "sketch").dropDuplicates(["doc_id"]), "candidate-texts")
+    banded = reps.select(*node, F.explode("bands").alias("key"))
+    buckets = banded.groupBy(*bucket).agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    members = durable(banded.join(buckets.select(*bucket, "pivot"), bucket), "members")
+    wanted = reps.select(*node, "sketch").join(members.select(*node).distinct(), node, "left_semi")
+    texts = durable(docs.withColumnRenamed("doc_id", "id").join(wanted, node).select(F.col("id").alias("doc_id"), *version, "text", "sketch").dropDuplicates(["doc_id", *version]), "candidate-texts")
 
     most = largest_difference(percent / 100 - MARGIN)
     # A document meets no more pivots than bands, so pairs may be dealt by it at once, for both the distinct and the join.
-    stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).repartition("a").distinct()
-    links = durable(_confirmed(stars, texts, width, percent, most), "links")
-    found = connected_components(links)
+    stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), *version).repartition("a", *version).distinct()
+    links = _confirmed(stars, texts, width, percent, most)
+    found = connected_components(durable(links if equal is None else links.unionByName(equal), "links"))
 
     # What a bucket holds of several components is compared across them, where rare shingles meet.
-    labelled = durable(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ids = durable(labelled.join(mixed, "key", "left_semi").select("id", "component").distinct(), "open")
-    open_texts = texts.join(open_ids, texts["doc_id"] == open_ids["id"], "left_semi")
-    rare = durable(rare_shingles(open_texts, rarity(open_texts, width), width, percent).join(open_ids, "id"), "rare-shingles")
-    meeting = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    meeting = rare.join(meeting, "shingle", "left_semi").join(reps.select("id", "sketch"), "id")
-    left, right = (meeting.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "component", "sketch"))) for x in "ab")
+    labelled = durable(members.select("key", *node).join(found, "id", "left").select("key", *node, F.coalesce("component", "id").alias("component")), "labelled")
+    mixed = labelled.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*bucket)
+    open_ids = durable(labelled.join(mixed, bucket, "left_semi").select(*node, "component").distinct(), "open")
+    open_texts = texts.join(open_ids.withColumnRenamed("id", "doc_id"), ["doc_id", *version], "left_semi")
+    rare = durable(rare_shingles(open_texts, rarity(open_texts, width), width, percent).join(open_ids, node), "rare-shingles")
+    same = ["shingle", *version]
+    meeting = rare.groupBy(*same).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*same)
+    meeting = rare.join(meeting, same, "left_semi").join(reps.select(*node, "sketch"), node)
+    left, right = (meeting.select(*same, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "component", "sketch"))) for x in "ab")
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
     alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate_differs(F.col("sketch_a"), F.col("sketch_b")) <= most)
     # At the rarest shingle two sets share, all that they share stands from there on, in either: it must be enough.
     enough = (100 + percent) * F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    across = left.join(right, "shingle").where(apart & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    across = left.join(right, same).where(apart & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), *version).distinct()
     more = durable(_confirmed(across, texts, width, percent, most), "more-links")
     if not more.isEmpty():
         found = connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
@@ -258,13 +273,18 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, before: Dat
     near-duplicates then are a group as well, as all that is left of a copy may be the lines that tell it apart.
     """
     spark = docs.sparkSession
-    links = []
-    for texts, only in ((docs, None), (before, docs)):
-        if texts is not None:
-            with scratch(spark):
-                found = near_duplicates(texts, width, percent, only).where("doc_id <> component_id")
-                links.append(durable(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), "near-links", keep=True))
-    groups = connected_components(reduce(DataFrame.unionByName, links)) if before is not None else links[0].select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if before is None:
+        groups = near_duplicates(docs, width, percent).select(F.col("doc_id").alias("id"), F.col("component_id").alias("component"))
+    else:
+        tune(spark)
+        now, then = (x.select("doc_id", "text", F.lit(k).alias("version")) for k, x in enumerate((docs, before)))
+        with scratch(spark):
+            there = signature_table(then, width).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("version", F.lit(1))
+            signed = durable(signature_table(now, width).withColumn("version", F.lit(0)).unionByName(there), "signatures")
+            classes = _classes(signed)
+            same = ["version", "fp1", "fp2", "n"]
+            equal = signed.select("doc_id", *same).join(classes.where("rows > 1").select(*same, "rep"), same).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+            groups = _components(now.unionByName(then), classes, width, percent, equal)
     return docs.join(groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 

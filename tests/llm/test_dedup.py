@@ -165,6 +165,37 @@ def test_near_duplicates_edge_cases(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_both_versions_of_texts_at_once(spark, monkeypatch):
+    """Links of either version join documents, none crosses versions, and no table is made once for each version."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+
+    def texts():
+        found = [t for _ in range(5) for t in chain(r, 4, words)] + [" ".join(r.choice(words) for _ in range(40)) for _ in range(26)]
+        r.shuffle(found)
+        return [*found, "same old text of some words", found[0], None, ""]
+
+    now, old = (dict(enumerate(texts())) for _ in range(2))
+    now[50] = old[51] = "what one is now and the other was before"
+    now[51], old[50] = "something else that is left of it", "and this is how it began at first"
+    parent = {d: d for d in now}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for version in (now, old):
+        for d, (_, component) in brute_components(list(version.items()), 3, 85).items():
+            low, high = sorted((root(d), root(component)))
+            parent[high] = low
+    tags, durable = [], near_dedup.durable
+    monkeypatch.setattr(near_dedup, "durable", lambda df, tag, keep=False: (tags.append(tag), durable(df, tag, keep))[1])
+    before = spark.createDataFrame([*old.items(), (-1, old[50]), (-2, old[3])], DOCS)  # -1 and -2 are gone already
+    got = near_dedup.deduplicated(spark.createDataFrame(list(now.items()), DOCS), 3, 85, before)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(d for d in now if root(d) == d)
+    assert {50, 51} <= {d for d in now if root(d) == d}
+    assert len(tags) == len(set(tags))
+
+
 def test_odd_sketches_estimate_high_similarities():
     r = random.Random(3)
     words = [f"w{r.random()}" for _ in range(600)]

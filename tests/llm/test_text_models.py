@@ -32,6 +32,15 @@ def test_language_is_told_on_held_out_texts(spark, corpus):
     assert language_id.Scorer(model).predict("lichverung")[0] == "bb"
 
 
+def test_language_model_makes_no_object_for_each_row(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string, lang string")
+    kind, sizes = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (rows := collect(self), sizes.append(len(rows)))[0])
+    assert len(language_id.fit(docs).logs) > 100
+    assert max(sizes) <= 2  # languages
+
+
 def test_language_edge_cases(spark, corpus):
     docs = spark.createDataFrame([*corpus, (900, "the the", None), (901, None, "aa"), (902, "12 !?", "aa"), (903, "", "aa"), (904, "漢字", None), (905, "the " * 50_000, "aa")], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     model = language_id.fit(docs)
