@@ -117,10 +117,10 @@ def hedging_and_voice(docs: DataFrame) -> DataFrame:
     """Density of hedging words, share of passive constructions, citations and malformed URLs."""
     rows = docs.select("doc_id", "text", T.words(text).alias("w"), F.size(T.sentences(text)).alias("s"))
     hedges = F.size(F.filter("w", lambda x: x.isin(*T.HEDGES)))
-    dois, urls = T.count(text, T.DOI), F.regexp_extract_all(text, F.lit(T.URL), F.lit(0))
+    dois, urls = T.count(text, T.ascii_edges(T.DOI)), F.regexp_extract_all(text, F.lit(T.URL), F.lit(0))
     bad = F.size(F.filter(urls, lambda u: F.contains(u, F.lit(".."))))
     citation = T.clamp(F.when(F.contains(F.lower(text), F.lit("doi")) & (dois == 0), 0.3).otherwise(0.0) + F.least(F.lit(0.7), 0.1 * bad))
-    passive = T.count(text, T.PASSIVE)
+    passive = T.count(text, T.ascii_edges(T.PASSIVE))
     return rows.select(
         "doc_id",
         F.round(T.clamp(T.ratio(hedges, F.size("w")) * 5), 6).alias("ambiguity"),

@@ -213,3 +213,12 @@ def test_a_sentence_at_just_the_threshold_is_supported(spark, tmp_path):
     turns = [(1, 0, "user", "a b c"), (1, 1, "assistant", "a b c d e f g h i j."), (2, 0, "user", "a b c d e f g h i"), (2, 1, "assistant", " ".join("abcdefghijklmnopqrst") + ". a. a. a. a.")]
     rows = same_as_sql(spark, str(tmp_path), "evidence_coverage", lambda conversations: evidence.evidence_coverage(conversations), {"conversations": (turns, "conv_id long, turn long, role string, text string")}, evidence.queries()["evidence_coverage"][1])
     assert sorted(rows) == [(1, 1, 1, 1, 0, 1.0), (2, 1, 5, 5, 0, 1.0)]
+
+
+def test_passives_and_identifiers_beside_letters_outside_ascii(spark, tmp_path):
+    """SQL's word boundary is that of ASCII: it stands between a letter with an accent and one without."""
+    from scriptorium.operators import quality
+
+    texts = ["Le p\u00e8am tested it. It was tested\u00e9.", "\u00e910.1234/ab and 10.1234/ab\u00e9", "wa\u017f tested, was\x0btested, IS\tUSED", "es was is used\u00e9ed", ""]
+    rows = same_as_sql(spark, str(tmp_path), "hedging_and_voice", lambda documents: quality.hedging_and_voice(documents), {"documents": (list(enumerate(texts)), "doc_id long, text string")}, quality.queries()["hedging_and_voice"][1])
+    assert [r[2] for r in rows] == [2, 0, 2, 1, 0] and rows[1][4] == 2
