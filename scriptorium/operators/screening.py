@@ -79,7 +79,7 @@ def risk(docs: DataFrame) -> DataFrame:
 
 def numeric_units(docs: DataFrame) -> DataFrame:
     """Numbers that stand with more than one unit in a document."""
-    found = F.regexp_extract_all(text, F.lit(r"\b(\d+(?:\.\d+)?)\s?([A-Za-z%]{1,12})\b"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(T.ascii_edges(r"\b(\d+(?:\.\d+)?)[ \t\n\f\r]?([A-Za-z%]{1,12})\b")), F.lit(0))
     pairs = docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", F.regexp_extract("m", r"^([\d.]+)", 1).alias("value"), F.lower(F.regexp_extract("m", r"([A-Za-z%]+)$", 1)).alias("unit"))
     return pairs.groupBy("doc_id", "value").agg(F.countDistinct("unit").alias("units"), F.count("*").alias("n")).where("units > 1")
 

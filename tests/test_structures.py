@@ -222,3 +222,11 @@ def test_passives_and_identifiers_beside_letters_outside_ascii(spark, tmp_path):
     texts = ["Le p\u00e8am tested it. It was tested\u00e9.", "\u00e910.1234/ab and 10.1234/ab\u00e9", "wa\u017f tested, was\x0btested, IS\tUSED", "es was is used\u00e9ed", ""]
     rows = same_as_sql(spark, str(tmp_path), "hedging_and_voice", lambda documents: quality.hedging_and_voice(documents), {"documents": (list(enumerate(texts)), "doc_id long, text string")}, quality.queries()["hedging_and_voice"][1])
     assert [r[2] for r in rows] == [2, 0, 2, 1, 0] and rows[1][4] == 2
+
+
+def test_units_beside_letters_outside_ascii(spark, tmp_path):
+    from scriptorium.operators import screening
+
+    texts = ["12 kg\u00e9 and 12 mm", "\u00e95 m, 5 km", "7\x0bkg 7 g 7 kg", "3% 3%x 3 x 3_y"]
+    rows = same_as_sql(spark, str(tmp_path), "numeric_units", lambda documents: screening.numeric_units(documents), {"documents": (list(enumerate(texts)), "doc_id long, text string")}, screening.queries()["numeric_units"][1])
+    assert rows[:3] == [(0, "12", 2, 2), (1, "5", 2, 2), (2, "7", 2, 2)]
