@@ -8,10 +8,32 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from scriptorium.operators import ordering, retrieval, search
+from scriptorium.operators import dedupe, ordering, retrieval, search
 from scriptorium.sources import files, tables
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def random_texts(spark, n, words, vocabulary, seed):
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("abcdefghij") + f"{r.randrange(vocabulary)}x" for _ in range(words)) for _ in range(n)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sum(map(len, texts))
+
+
+def test_set_joins_shuffle_little_of_the_sets(spark):
+    """Only the rarest words, and whole sets of candidates alone: of these texts no two are alike."""
+    docs, size = random_texts(spark, 400, 400, 10_000, 5)
+    before = shuffled(spark)
+    assert dedupe.jaccard_pairs(docs).count() == 0
+    assert shuffled(spark) - before < 2 * size
+
+
 def test_places_like_a_window(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["a", "a", "a", "b", None]), r.randint(0, 9)) for i in range(3000)]
