@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from scriptorium.operators import dedupe, ordering, retrieval, search
+from scriptorium.operators import dedupe, ordering, retrieval, rules, search
 from scriptorium.sources import files, tables
 
 
@@ -29,9 +29,10 @@ def random_texts(spark, n, words, vocabulary, seed):
 def test_set_joins_shuffle_little_of_the_sets(spark):
     """Only the rarest words, and whole sets of candidates alone: of these texts no two are alike."""
     docs, size = random_texts(spark, 400, 400, 10_000, 5)
-    before = shuffled(spark)
-    assert dedupe.jaccard_pairs(docs).count() == 0
-    assert shuffled(spark) - before < 2 * size
+    for operator in (dedupe.jaccard_pairs, rules.greedy_jaccard):
+        before = shuffled(spark)
+        assert operator(docs).count() == (400 if operator is rules.greedy_jaccard else 0)
+        assert shuffled(spark) - before < 2 * size
 
 
 def test_places_like_a_window(spark):
