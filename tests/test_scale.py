@@ -81,3 +81,13 @@ def test_spreadsheets_are_read_from_their_xml():
         book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="m"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>age</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row></sheetData></worksheet>')
     assert files.extract("sheet", data.getvalue()) == ("name: anna; : ; age: 7", "")
     assert files.extract("sheet", b"broken")[1]
+
+
+def test_simhashes_without_a_shuffle_of_tokens(spark):
+    docs, size = random_texts(spark, 400, 400, 10_000, 6)
+    before = shuffled(spark)
+    got = dedupe.simhash(docs).collect()
+    assert len(got) == 400 and shuffled(spark) - before < size / 10
+    again = docs.unionAll(docs.where("doc_id < 2")).unionAll(docs.where("doc_id < 3").selectExpr("cast(null as long) as doc_id", "text"))
+    three = dedupe.simhash(again).collect()
+    assert {tuple(x) for x in got} == {tuple(x) for x in three if x.doc_id is not None} and len(three) == 401
