@@ -91,3 +91,19 @@ def test_simhashes_without_a_shuffle_of_tokens(spark):
     again = docs.unionAll(docs.where("doc_id < 2")).unionAll(docs.where("doc_id < 3").selectExpr("cast(null as long) as doc_id", "text"))
     three = dedupe.simhash(again).collect()
     assert {tuple(x) for x in got} == {tuple(x) for x in three if x.doc_id is not None} and len(three) == 401
+
+
+def test_simhash_pairs_once_each_without_a_shuffle_of_pairs(spark):
+    """Texts that share most of their words: every pair is near by many keys, and counts once."""
+    r = random.Random(8)
+    common = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join([*common, *(f"v{r.randrange(10**6)}" for _ in range(4))])) for i in range(300)], "doc_id long, text string")
+    hashes = {x.doc_id: x.high << 32 | x.low for x in dedupe.simhash(docs).collect()}
+    first = {}
+    for i, h in sorted(hashes.items()):
+        first.setdefault(h, i)
+    want = sorted((a, b, (x ^ y).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 5)
+    before = shuffled(spark)
+    got = sorted(map(tuple, dedupe.simhash_pairs(docs).collect()))
+    assert got == want and len(want) > 1000
+    assert shuffled(spark) - before < 40 * 56 * len(first)
