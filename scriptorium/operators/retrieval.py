@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
 from ..sources.tables import durable, small, table
-from . import kernels, search
+from . import dedupe, kernels, search
 
 text = "text"
 
+#: Terms are bounded by so many buckets.
+BUCKETS = 1 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -53,13 +62,55 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def df_bounds(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest df of the terms in each of a fixed number of buckets."""
+    found = df.groupBy(F.pmod(F.crc32("term"), F.lit(BUCKETS)).alias("bucket")).agg(F.min("df").alias("low"), F.max("df").alias("high")).toArrow()
+    bounds = np.zeros((2, BUCKETS), np.int64)
+    for k, name in enumerate(("low", "high")):
+        bounds[k, found["bucket"].to_numpy()] = found[name].to_numpy()
+    return bounds[0], bounds[1]
+
+
+def likely_terms(batches: Iterator[pa.RecordBatch], low: np.ndarray, high: np.ndarray, total: int, k: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, term, tf, length of the terms of each row (doc_id, tokens) that may be among its top ``k``.
+
+    A term's bucket bounds its df and so its weight; out are only those that can't reach what ``k`` terms have at least.
+    """
+    for batch in batches:
+        lists = batch.column("tokens")
+        words, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        buckets = np.array([zlib.crc32(w) % len(low) for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+        least, most = (np.log((1 + total) / (1 + x[buckets])) + 1 for x in (high, low))
+        codes, rows, terms, tfs, lengths = words.indices.to_numpy(), [], [], [], []
+        for row, (start, end) in enumerate(pairwise((ends - ends[0]).tolist())):
+            term, tf = np.unique(codes[start:end], return_counts=True)
+            if len(term) > k:
+                floor = np.partition(tf * least[term], -k)[-k]
+                may = tf * most[term] >= floor * (1 - 1e-9) - 2e-8 * (end - start)  # weights are rounded to eight places
+                term, tf = term[may], tf[may]
+            rows.append(np.full(len(term), row))
+            terms.append(term)
+            tfs.append(tf)
+            lengths.append(np.full(len(term), end - start))
+        rows, terms, tfs, lengths = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (rows, terms, tfs, lengths))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), words.dictionary.take(pa.array(terms)), pa.array(tfs), pa.array(lengths)], ["doc_id", "term", "tf", "length"])
+
+
 def tfidf_top_terms(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Top terms of each document by tf / length * (ln((1 + N) / (1 + df)) + 1)."""
-    counts = _term_counts(docs)
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    """Top terms of each document by tf / length * (ln((1 + N) / (1 + df)) + 1).
+
+    All terms are counted, but only those that bounds of their df leave among the likely ones are shuffled with their
+    documents and get their exact weight.
+    """
+    tokens = docs.select("doc_id", F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = dedupe.one_row_each(tokens)
+    df = durable(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "term-df")
     total = docs.agg(F.count("*").alias("total"))
-    length = F.sum("tf").over(W.Window.partitionBy("doc_id"))
-    scored = counts.withColumn("length", length).join(df, "term").join(F.broadcast(total)).select("doc_id", "term", F.round(F.col("tf") / F.col("length") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1), 8).alias("weight"))
+    low, high = df_bounds(df)
+    shared = docs.sparkSession.sparkContext.broadcast((low, high, total.first()["total"]))
+    kernel = lambda batches: likely_terms(batches, *shared.value, k)
+    likely = tokens.mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, term string, tf long, length long")
+    scored = likely.join(df, "term").join(F.broadcast(total)).select("doc_id", "term", F.round(F.col("tf") / F.col("length") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1), 8).alias("weight"))
     return _top(scored, "doc_id", k, F.desc("weight"), "term").select("doc_id", "rank", "term", "weight")
 
 

@@ -107,3 +107,22 @@ def test_simhash_pairs_once_each_without_a_shuffle_of_pairs(spark):
     got = sorted(map(tuple, dedupe.simhash_pairs(docs).collect()))
     assert got == want and len(want) > 1000
     assert shuffled(spark) - before < 40 * 56 * len(first)
+
+
+def test_top_terms_shuffle_likely_ones_only_and_are_the_same_by_loose_bounds(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    docs, size = random_texts(spark, 400, 400, 300, 7)
+    before = shuffled(spark)
+    got = sorted(map(tuple, retrieval.tfidf_top_terms(docs).collect()))
+    assert len(got) == 2000 and shuffled(spark) - before < size
+    odd = spark.createDataFrame([(1, "aa bb cc"), (1, "dd aa ee ff gg"), (None, "zz yy"), (None, "zz"), (900, ""), (901, None), (902, "x"), (903, "aa bb cc dd ee ff gg hh")], "doc_id long, text string")
+    docs.unionAll(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(retrieval.queries()["tfidf_top_terms"][1]).fetchall(), key=repr)
+    for buckets in (retrieval.BUCKETS, 4):
+        monkeypatch.setattr(retrieval, "BUCKETS", buckets)
+        rows = sorted(map(tuple, retrieval.tfidf_top_terms(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()), key=repr)
+        assert [r[:3] for r in rows] == [r[:3] for r in want]
+        assert [r[3] for r in rows] == pytest.approx([r[3] for r in want], abs=1e-12)
